@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinal.llm import licenses, mixing, rules
-from vicinal.llm.common import checkpointed, table
+from vicinal.llm import jaccard, language, licenses, mixing, packing, rules, secrets
+from vicinal.llm.common import table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify_languages(spark, docs, language.train_language_model(docs))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(spark, table(spark, sf_dir, "documents"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op7_pack_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.apply_rules(docs, rules.train_rules(docs, table(spark, sf_dir, "labels")))
@@ -23,11 +36,19 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op3_jaccard_join": op3_jaccard_join,
         "op6_mix_sources": op6_mix_sources,
+        "op7_pack_best_two_fit": op7_pack_best_two_fit,
         "op8_quality_rules": op8_quality_rules,
         "op9_license_scan": op9_license_scan,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
