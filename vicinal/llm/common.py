@@ -37,7 +37,7 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
     Count only what is checkpointed already: the count is a job of its own.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def unit_hash(*columns: Column, seed: int = 0) -> Column:

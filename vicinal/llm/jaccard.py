@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +17,12 @@ NGRAM = 4
 SIMILARITY = 85
 #: Boundaries between small and large sets of which the cheapest is taken.
 BOUNDARIES = (0, 8, 16, 32, 64, 128, 256, 512, 1024, 4096, 1 << 40)
+#: Links that one task joins into components; beyond, labels spread in rounds of joins.
+LINKS_AT_ONCE = 200_000
+#: Rows of two numbers that are broadcast at most.
+PAIRS_BROADCAST = 1_000_000
 #: Rounds in which the most central member of a list stands for its component.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
 
 class WordHashes(dict):
@@ -115,21 +118,23 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int, simil
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFrame:
-    """cid and the packed set of each document whose id is in ``wanted``."""
+    """cid, the packed set and its sketch, of each document whose id is in ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words, ngram).tobytes() for t in batch.column(1)], pa.binary())], names=["cid", "packed"])
+            sets = [shingle_set(t.as_py(), words, ngram) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], names=["cid", "packed", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).alias("text")).join(small_side(wanted.select("cid"), 1_000_000), "cid", "left_semi")
-    return rows.mapInArrow(run, "cid long, packed binary").dropDuplicates(["cid"])
+    return rows.mapInArrow(run, "cid long, packed binary, sketch binary").dropDuplicates(["cid"])
 
 
 def choose_boundary(costs: list[tuple[int, int, float, float]], similarity: int = SIMILARITY) -> int:
     """The boundary with the least work, from (least n, greatest n, work of subsets, work of lists) of size ranges.
 
-    Up to the boundary sets are small.  A set near it that a large one may be
+    A key is made, sent and met once; in a list its member meets a hub in each
+    round, and a subset's list is short.  Up to the boundary sets are small.  A set near it that a large one may be
     similar to stands in the lists as well.
     """
 
@@ -140,14 +145,20 @@ def choose_boundary(costs: list[tuple[int, int, float, float]], similarity: int
     return min(BOUNDARIES, key=lambda x: (work(x), x))
 
 
-def rare_first(n: int, signature: int, tokens: list[tuple[int, int]], similarity: int, extra: int) -> list[tuple[int, int]]:
-    """The shared (frequency, hash) pairs among the rarest elements of a signature that lists need; ``extra`` 1 for lists, 2 for subsets of two."""
-    length = signature - common_least(n, similarity) + extra
-    alone = signature - len(tokens)  # elements that no other set has come first
-    return sorted(tokens)[: max(0, length - alone)]
+def rare_first(f: np.ndarray, token: np.ndarray, n: int, similarity: int, extra: int) -> np.ndarray:
+    """The shared hashes among the rarest elements of a signature that a join needs; ``extra`` 1 for lists, 2 for subsets of two.
 
+    Elements that no other set has are rarer than all of ``token``.
+    """
+    alone = signature_length(n, similarity) - len(token)
+    length = signature_length(n, similarity) - common_least(n, similarity) + extra
+    return token[np.lexsort((token, f))[: max(0, length - alone)]]
+
+
+POSTING = "key long, cid long, n long, small boolean, central double"
 
-def list_rows(survivors: DataFrame, boundary: int, similarity: int) -> DataFrame:
+
+def list_rows(survivors: DataFrame, boundary: int, similarity: int, rows_at_once: int = 100_000) -> DataFrame:
     """Postings: key, cid, n, small, central.
 
     Keys of small sets are pairs of elements, keys of large sets elements.
@@ -156,29 +167,37 @@ def list_rows(survivors: DataFrame, boundary: int, similarity: int) -> DataFrame
     """
     near = least_overlap(boundary + 1, similarity)
 
+    def packed(parts: list[tuple[np.ndarray, int, int, bool, float]]) -> pa.RecordBatch:
+        size = [len(p[0]) for p in parts]
+        columns = [np.repeat(np.array([p[k] for p in parts]), size) for k in range(1, 5)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[0] for p in parts])), *map(pa.array, columns)], names=["key", "cid", "n", "small", "central"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, int, int, bool, float]] = []
+        held = 0
         for batch in batches:
-            out: list[tuple[int, int, int, bool, float]] = []
-            for row in batch.to_pylist():
-                n, cid = row["n"], row["cid"]
+            lists = batch.column(2)
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            often, tokens = flat.field("f").to_numpy(), flat.field("token").to_numpy()
+            for cid, n, lo, hi in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1], ends[1:], strict=True):
+                f, token = often[lo:hi], tokens[lo:hi]
                 length = signature_length(n, similarity)
-                tokens = [(t["f"], t["token"]) for t in row["tokens"]]
-                central = (sum(f for f, _ in tokens) + length - len(tokens)) / length
-                keys: list[tuple[int, bool]] = []
+                central = float(f.sum() + length - len(f)) / length
                 if n <= boundary:
-                    first = sorted(t for _, t in rare_first(n, length, tokens, similarity, 2))
-                    if len(first) > 1:
-                        pairs = np.array(list(combinations(first, 2)), np.int64).view(np.uint64)
-                        keys += [(k, True) for k in _spread(_spread(pairs[:, 0]) + pairs[:, 1]).view(np.int64).tolist()]
+                    first = np.sort(rare_first(f, token, n, similarity, 2)).view(np.uint64)
+                    i, j = np.triu_indices(len(first), 1)
+                    parts.append((_spread(_spread(first[i]) + first[j]).view(np.int64), cid, n, False, central))
+                    held += len(i)
                 if n >= near:
-                    keys += [(t, False) for _, t in rare_first(n, length, tokens, similarity, 1)]
-                out += [(k, cid, n, not pair and n <= boundary, central) for k, pair in keys]
-            if out:
-                columns = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "cid", "n", "small", "central"])
+                    parts.append((rare_first(f, token, n, similarity, 1), cid, n, n <= boundary, central))
+                    held += len(parts[-1][0])
+                if held >= rows_at_once:
+                    yield packed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield packed(parts)
 
-    return survivors.mapInArrow(run, "key long, cid long, n long, small boolean, central double")
+    return survivors.select("cid", "n", "tokens").mapInArrow(run, POSTING)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -199,12 +218,113 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """cid and comp, the smallest id reachable, for the ends of ``edges`` (a, b).
+#: Bits of a sketch: as many as keep two unlike sets of some thousands apart.
+SKETCH_BITS = 2048
+#: Members of a list that are compared with each other at a time.
+LIST_BLOCK = 2048
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """For each of the bits, whether an odd number of elements falls on it.
+
+    Two sets differ in as many elements at least as their sketches in bits.
+    """
+    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def near_pairs(cid: np.ndarray, comp: np.ndarray, n: np.ndarray, small: np.ndarray, side: np.ndarray, bits: np.ndarray, similarity: int) -> np.ndarray:
+    """Pairs of different components that may be similar by their sizes and sketches, as rows (smaller id, larger id).
+
+    ``side`` is 0 or 1 for the two blocks of a list that meet here and 2 if
+    all are of the same block.
+    """
+    out = []
+    first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    for lo in range(0, len(first), 64):
+        i, j = first[lo : lo + 64, None], second[None, :]
+        total = n[i] + n[j]
+        ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & ~(small[i] & small[j])
+        ok &= (side[i] != 2) | (cid[i] < cid[j])
+        a, b = np.nonzero(ok)
+        if not len(a):
+            continue
+        x, y = first[lo + a], second[b]
+        most = total[a, b] - 2 * -(-similarity * total[a, b] // (100 + similarity))
+        differ = np.concatenate([np.bitwise_count(bits[x[k : k + 65536]] ^ bits[y[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), 65536)])
+        keep = differ <= most
+        out.append(np.stack([np.minimum(cid[x[keep]], cid[y[keep]]), np.maximum(cid[x[keep]], cid[y[keep]])], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def rest_pairs(members: DataFrame, sets: DataFrame, similarity: int, block: int = LIST_BLOCK) -> DataFrame:
+    """a and b of all members of a list (key, cid, n, small, comp) that are of different components and may be similar.
+
+    Members are compared by sketches inside tasks, and only pairs that pass
+    leave them.  Lists longer than ``block`` are cut into blocks, and each two
+    blocks meet in a group of their own.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = members.join(sizes, "key").join(sets.select("cid", "sketch"), "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("b0"), F.greatest("own", "other").alias("b1"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "cid", "comp", "n", "small", "sketch")
+    grouped = rows.repartition("key", "b0", "b1").sortWithinPartitions("key", "b0", "b1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def groups(part: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            """The pairs of the whole groups; what may go on stays in ``held``."""
+            names = np.stack([part.column(k).to_numpy() for k in range(3)], axis=1)
+            starts = np.concatenate([[0], 1 + np.flatnonzero((names[1:] != names[:-1]).any(axis=1)), [len(names)]])
+            end = starts[-1] if last else starts[-2]
+            held[:] = [] if last else part.slice(end).combine_chunks().to_batches()
+            side, cid, comp, n, small = (part.column(k).to_numpy() for k in range(3, 8))
+            bits = np.frombuffer(b"".join(part.column(8).to_pylist()), np.uint64).reshape(len(names), -1)
+            found = [near_pairs(cid[lo:hi], comp[lo:hi], n[lo:hi], small[lo:hi], side[lo:hi], bits[lo:hi], similarity) for lo, hi in zip(starts[:-1], starts[1:], strict=True) if hi <= end and hi - lo > 1]
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 4 * block:
+                yield from groups(pa.Table.from_batches(held), False)
+        if sum(b.num_rows for b in held):
+            yield from groups(pa.Table.from_batches(held), True)
+
+    return grouped.mapInArrow(run, "a long, b long").distinct()
+
+
+def joined_links(edges: DataFrame) -> DataFrame:
+    """cid and comp of links few enough for one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+        ids = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(root, ids), pa.int64())], names=["cid", "comp"])
+
+    return edges.coalesce(1).mapInArrow(run, "cid long, comp long")
+
+
+def connected_components(edges: DataFrame, at_once: int = LINKS_AT_ONCE) -> DataFrame:
+    """cid and comp, the smallest id reachable, for the ends of ``edges`` (a, b), which are checkpointed.
 
-    Labels fall to the least of the neighbours' labels and then to the label of
-    that label, until none changes.
+    Up to ``at_once`` links are joined in one task.  With more, labels fall to
+    the least of the neighbours' labels and then to the label of that label,
+    until none changes.
     """
+    if edges.count() <= at_once:
+        return checkpointed(joined_links(edges.select("a", "b")))
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cid"), F.least("a", "m").alias("comp")))
     while True:
@@ -224,8 +344,8 @@ def link_components(postings: DataFrame, sets: DataFrame, similarity: int, round
     meet one of them, the most central and then others by chance, so that a
     list of copies of one text costs a pair for each member and not one for
     each two.  Lists whose members are of one component are done with.  At
-    last all pairs of a list whose members are of different components and
-    have not met are compared, so that no link between components is lost.
+    last all members of a list that are of different components are compared,
+    by sketches first, so that no link between components is lost.
     """
 
     def compatible(n: str, m: str):
@@ -233,25 +353,23 @@ def link_components(postings: DataFrame, sets: DataFrame, similarity: int, round
 
     spark = postings.sparkSession
     none = spark.createDataFrame([], "a long, b long")
-    edges, met, labels = none, none, None
+    edges, met, labels = none, None, None
     for turn in range(rounds + 1):
-        now = postings.withColumn("comp", F.col("cid")) if labels is None else postings.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        now = postings.withColumn("comp", F.col("cid")) if labels is None else postings.join(small_side(labels, PAIRS_BROADCAST), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         by = F.struct("central", "cid") if turn == 0 else F.struct(F.xxhash64("cid", F.lit(turn)), "cid")
         lists = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max_by(F.struct("cid", "n", "small", "comp"), by).alias("hub")).where("c0 < c1")
         if turn < rounds:
             m = now.join(lists.select("key", "hub"), "key").where(F.col("comp") != F.col("hub.comp")).select("key", "cid", "n", "small", F.col("hub.cid").alias("hub_cid"), F.col("hub.n").alias("hub_n"), F.col("hub.small").alias("hub_small"))
+            m = m.where(compatible("n", "hub_n") & ~(F.col("small") & F.col("hub_small")))
+            pairs = m.select(F.least("cid", "hub_cid").alias("a"), F.greatest("cid", "hub_cid").alias("b")).distinct()
         else:
-            active = now.join(lists.select("key"), "key", "left_semi")
-            other = active.select("key", F.col("cid").alias("hub_cid"), F.col("n").alias("hub_n"), F.col("small").alias("hub_small"), F.col("comp").alias("hub_comp"))
-            m = active.join(other, "key").where((F.col("cid") < F.col("hub_cid")) & (F.col("comp") != F.col("hub_comp")))
-        m = m.where(compatible("n", "hub_n") & ~(F.col("small") & F.col("hub_small")))
-        pairs = m.select(F.least("cid", "hub_cid").alias("a"), F.greatest("cid", "hub_cid").alias("b")).distinct()
-        pairs = checkpointed(pairs.join(met, ["a", "b"], "left_anti"))
+            pairs = rest_pairs(now.join(lists.select("key"), "key", "left_semi").select("key", "cid", "n", "small", "comp"), sets, similarity)
+        pairs = checkpointed(pairs if met is None else pairs.join(small_side(met, PAIRS_BROADCAST), ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             if turn == rounds:
                 break
             continue
-        met = met.unionByName(pairs)
+        met = pairs if met is None else met.unionByName(pairs)
         found = checkpointed(verified(pairs, sets, similarity))
         if not found.isEmpty():
             edges = edges.unionByName(found)
@@ -291,12 +409,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
         return F.greatest(F.lit(0), F.size("tokens") - least + extra).cast("int")
 
     spans = survivors.select("n", firsts(2).alias("k"), F.slice(sorted_tokens, F.lit(1), firsts(1)).alias("first"), length.alias("length"))
-    costs = spans.groupBy(F.floor(F.log2("n")).alias("range")).agg(F.min("n"), F.max("n"), F.sum(F.col("k") * (F.col("k") - 1) / 2.0), F.sum(F.aggregate("first", F.lit(0.0), lambda a, t: a + t["f"] + 1.0))).collect()
+    costs = spans.groupBy(F.floor(F.log2("n")).alias("range")).agg(F.min("n"), F.max("n"), F.sum(F.col("k") * (F.col("k") - 1.0)), F.sum(F.aggregate("first", F.lit(0.0), lambda a, t: a + F.least(t["f"], F.lit(HUB_ROUNDS + 1)) + 1.0))).collect()
     boundary = choose_boundary([(r[1], r[2], float(r[3] or 0), float(r[4] or 0)) for r in costs], similarity)
     postings = checkpointed(list_rows(survivors, boundary, similarity))
     sets = checkpointed(whole_sets(docs, survivors, id_col, text_col, ngram))
     labels = link_components(postings, sets, similarity)
-    named = classes.select("digest", "cid").join(labels, "cid", "left").select("digest", F.coalesce("comp", "cid").alias("component_id"))
+    named = classes.select("digest", "cid").join(small_side(labels, PAIRS_BROADCAST), "cid", "left").select("digest", F.coalesce("comp", "cid").alias("component_id"))
     return rows.select("doc_id", "n", "digest").dropDuplicates(["doc_id"]).join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
