@@ -33,9 +33,13 @@ class WordIds(dict):
     """The ids of each word as little-endian bytes.
 
     The tokenizer drops white space and never joins characters across it, so a
-    text's ids are those of its words, one after the other.
+    text's ids are those of its words, one after the other.  It splits
+    punctuation from a letter or digit before it and puts letters in lower
+    case first, so ``Word,`` has the ids of ``word`` and of ``,``.
     """
 
+    MARKS = b".,;:!?"
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -44,7 +48,13 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        low, stem = word.lower(), word.rstrip(self.MARKS)
+        if stem and len(stem) < len(word) and stem.decode()[-1].isalnum():
+            ids = self[stem] + self[word[len(stem) :]]
+        elif low != word and b"<|" not in word:  # special tokens are found before letters are lowered
+            ids = self[low]
+        else:
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) <= CACHE_BYTES:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -57,10 +67,10 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def text_ids(text: str | None, path: str) -> bytes:
-    """Ids of a text and the closing id 0, four bytes each."""
+def text_ids(text: bytes | None, path: str) -> bytes:
+    """Ids of a text in UTF-8 and the closing id 0, four bytes each."""
     ids = word_ids(path)
-    return b"".join([*map(ids.__getitem__, (text or "").encode().split()), b"\0\0\0\0"])
+    return b"".join([*map(ids.__getitem__, (text or b"").split()), b"\0\0\0\0"])
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -73,7 +83,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_co
         step = 4 * capacity
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 ids = text_ids(text.as_py(), path)
                 rows += [(doc, k, at // 4, len(part) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), step)) if (part := ids[at : at + step])]
             if rows:
