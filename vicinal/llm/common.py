@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,16 +50,59 @@ def unit_hash(*columns: Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def labelled_sample(rows: DataFrame, group: str, per_group: int, key: str, seed: int = 0) -> DataFrame:
-    """About ``per_group`` rows of each value of ``group``, chosen by the hash of ``key``.
+def labelled_sample(rows: DataFrame, group: str, per_group: int | dict, key: str, seed: int = 0) -> DataFrame:
+    """About ``per_group`` rows of each value of ``group`` (a number, or one for each value), chosen by the hash of ``key``.
 
     The share of each group follows from its count over all rows, so that the
     sample's size is bounded by ``per_group`` times the number of groups (in
     expectation) however large the table is.  Only the counts of the groups,
     one row each, come to the driver.
     """
-    shares = {r[0]: min(1.0, per_group / r[1]) for r in rows.groupBy(group).count().collect()}
+    wanted = per_group if isinstance(per_group, dict) else {}
+    shares = {r[0]: min(1.0, wanted.get(r[0], 0 if wanted else per_group) / r[1]) for r in rows.groupBy(group).count().collect()}
     keep = F.lit(False)
     for value, share in shares.items():
         keep = F.when(F.col(group).eqNullSafe(F.lit(value)), unit_hash(F.col(key), seed=seed) < share).otherwise(keep)
     return rows.where(keep)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with the memory that it leaves given back to the system at its end.
+
+    Python workers live on from stage to stage, beside the heap of their
+    executor; what the allocators keep of one stage would stay on top of the
+    next one's needs.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
+class Recent(dict):
+    """A dictionary that fills itself and forgets: what was not asked for lately goes once ``most`` entries are held twice."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.llm.common import lean
+
 # How HTML elements and usual class names divide a page.
 RAW = "script style noscript template svg math iframe object select option textarea button title canvas audio video map datalist".split()
 BLOCKS = """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
@@ -251,4 +253,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

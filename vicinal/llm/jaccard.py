@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import checkpointed, small_side
+from vicinal.llm.common import Recent, checkpointed, lean, small_side
 
 NGRAM = 4
 #: Similarity in hundredths.
@@ -21,20 +21,18 @@ BOUNDARIES = (0, 8, 16, 32, 64, 128, 256, 512, 1024, 4096, 1 << 40)
 LINKS_AT_ONCE = 200_000
 #: Rows of two numbers that are broadcast at most.
 PAIRS_BROADCAST = 1_000_000
-#: Rounds in which the most central member of a list stands for its component.
-HUB_ROUNDS = 2
+#: Rounds in which the most central member of a list stands for all of it.
+HUB_ROUNDS = 1
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for the words seen."""
+class WordHashes(Recent):
+    """64-bit hashes of words."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= 500_000:
-                self.clear()
-            self[word] = value
-        return value
+    def __init__(self, most: int = 60_000):
+        super().__init__(most)
+
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -114,7 +112,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int, simil
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["doc_id", "n", "digest", "signature"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, signature array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, n long, digest binary, signature array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFrame:
@@ -127,7 +125,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], names=["cid", "packed", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).alias("text")).join(small_side(wanted.select("cid"), 1_000_000), "cid", "left_semi")
-    return rows.mapInArrow(run, "cid long, packed binary, sketch binary").dropDuplicates(["cid"])
+    return rows.mapInArrow(lean(run), "cid long, packed binary, sketch binary").dropDuplicates(["cid"])
 
 
 def choose_boundary(costs: list[tuple[int, int, float, float]], similarity: int = SIMILARITY) -> int:
@@ -197,7 +195,7 @@ def list_rows(survivors: DataFrame, boundary: int, similarity: int, rows_at_once
         if parts:
             yield packed(parts)
 
-    return survivors.select("cid", "n", "tokens").mapInArrow(run, POSTING)
+    return survivors.select("cid", "n", "tokens").mapInArrow(lean(run), POSTING)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -215,7 +213,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = sets.select(F.col("cid").alias("a"), F.col("packed").alias("x")), sets.select(F.col("cid").alias("b"), F.col("packed").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 #: Bits of a sketch: as many as keep two unlike sets of some thousands apart.
@@ -233,11 +231,12 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def near_pairs(cid: np.ndarray, comp: np.ndarray, n: np.ndarray, small: np.ndarray, side: np.ndarray, bits: np.ndarray, similarity: int) -> np.ndarray:
+def near_pairs(cid: np.ndarray, comp: np.ndarray, n: np.ndarray, small: np.ndarray, side: np.ndarray, bits: np.ndarray, similarity: int, nearest: bool) -> np.ndarray:
     """Pairs of different components that may be similar by their sizes and sketches, as rows (smaller id, larger id).
 
     ``side`` is 0 or 1 for the two blocks of a list that meet here and 2 if
-    all are of the same block.
+    all are of the same block.  With ``nearest`` each member of the first block
+    keeps only the one whose sketch differs least from its own.
     """
     out = []
     first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
@@ -245,7 +244,8 @@ def near_pairs(cid: np.ndarray, comp: np.ndarray, n: np.ndarray, small: np.ndarr
         i, j = first[lo : lo + 64, None], second[None, :]
         total = n[i] + n[j]
         ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & ~(small[i] & small[j])
-        ok &= (side[i] != 2) | (cid[i] < cid[j])
+        if not nearest:
+            ok &= (side[i] != 2) | (cid[i] < cid[j])
         a, b = np.nonzero(ok)
         if not len(a):
             continue
@@ -253,15 +253,21 @@ def near_pairs(cid: np.ndarray, comp: np.ndarray, n: np.ndarray, small: np.ndarr
         most = total[a, b] - 2 * -(-similarity * total[a, b] // (100 + similarity))
         differ = np.concatenate([np.bitwise_count(bits[x[k : k + 65536]] ^ bits[y[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), 65536)])
         keep = differ <= most
-        out.append(np.stack([np.minimum(cid[x[keep]], cid[y[keep]]), np.maximum(cid[x[keep]], cid[y[keep]])], axis=1))
+        x, y = x[keep], y[keep]
+        if nearest and len(x):
+            order = np.lexsort((cid[y], differ[keep], x))
+            x, y = x[order], y[order]
+            best = np.concatenate([[True], x[1:] != x[:-1]])
+            x, y = x[best], y[best]
+        out.append(np.stack([np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])], axis=1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def rest_pairs(members: DataFrame, sets: DataFrame, similarity: int, block: int = LIST_BLOCK) -> DataFrame:
+def rest_pairs(members: DataFrame, sets: DataFrame, similarity: int, nearest: bool, block: int = LIST_BLOCK) -> DataFrame:
     """a and b of all members of a list (key, cid, n, small, comp) that are of different components and may be similar.
 
     Members are compared by sketches inside tasks, and only pairs that pass
-    leave them.  Lists longer than ``block`` are cut into blocks, and each two
+    leave them; with ``nearest`` one pair for each member at most.  Lists longer than ``block`` are cut into blocks, and each two
     blocks meet in a group of their own.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -281,7 +287,7 @@ def rest_pairs(members: DataFrame, sets: DataFrame, similarity: int, block: int
             held[:] = [] if last else part.slice(end).combine_chunks().to_batches()
             side, cid, comp, n, small = (part.column(k).to_numpy() for k in range(3, 8))
             bits = np.frombuffer(b"".join(part.column(8).to_pylist()), np.uint64).reshape(len(names), -1)
-            found = [near_pairs(cid[lo:hi], comp[lo:hi], n[lo:hi], small[lo:hi], side[lo:hi], bits[lo:hi], similarity) for lo, hi in zip(starts[:-1], starts[1:], strict=True) if hi <= end and hi - lo > 1]
+            found = [near_pairs(cid[lo:hi], comp[lo:hi], n[lo:hi], small[lo:hi], side[lo:hi], bits[lo:hi], similarity, nearest) for lo, hi in zip(starts[:-1], starts[1:], strict=True) if hi <= end and hi - lo > 1]
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -292,7 +298,7 @@ def rest_pairs(members: DataFrame, sets: DataFrame, similarity: int, block: int
         if sum(b.num_rows for b in held):
             yield from groups(pa.Table.from_batches(held), True)
 
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    return grouped.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def joined_links(edges: DataFrame) -> DataFrame:
@@ -313,7 +319,7 @@ def joined_links(edges: DataFrame) -> DataFrame:
         ids = list(parent)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(root, ids), pa.int64())], names=["cid", "comp"])
 
-    return edges.coalesce(1).mapInArrow(run, "cid long, comp long")
+    return edges.coalesce(1).mapInArrow(lean(run), "cid long, comp long")
 
 
 def connected_components(edges: DataFrame, at_once: int = LINKS_AT_ONCE) -> DataFrame:
@@ -340,40 +346,41 @@ def connected_components(edges: DataFrame, at_once: int = LINKS_AT_ONCE) -> Data
 def link_components(postings: DataFrame, sets: DataFrame, similarity: int, rounds: int = HUB_ROUNDS) -> DataFrame:
     """cid and comp of the sets that are linked, from the postings.
 
-    Two sets that are linked share a key.  In each round the members of a list
-    meet one of them, the most central and then others by chance, so that a
-    list of copies of one text costs a pair for each member and not one for
-    each two.  Lists whose members are of one component are done with.  At
-    last all members of a list that are of different components are compared,
-    by sketches first, so that no link between components is lost.
+    Two sets that are linked share a key.  First the members of a list meet
+    its most central one, so that a list of copies of one text costs a pair for
+    each member and not one for each two.  Lists whose members are of one
+    component are done with.  In the others each member then meets the one of
+    another component whose sketch is nearest, again and again until that
+    links nothing new.  At last all members that are still of different
+    components are compared, by sketches first, so that no link between
+    components is lost.
     """
 
     def compatible(n: str, m: str):
         return (100 * F.least(n, m) >= similarity * F.greatest(n, m))
 
     spark = postings.sparkSession
-    none = spark.createDataFrame([], "a long, b long")
-    edges, met, labels = none, None, None
-    for turn in range(rounds + 1):
+    edges, met, labels = spark.createDataFrame([], "a long, b long"), None, None
+    turns = ["hub"] * rounds + ["nearest"]
+    while turns:
+        turn = turns.pop(0)
         now = postings.withColumn("comp", F.col("cid")) if labels is None else postings.join(small_side(labels, PAIRS_BROADCAST), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        by = F.struct("central", "cid") if turn == 0 else F.struct(F.xxhash64("cid", F.lit(turn)), "cid")
-        lists = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max_by(F.struct("cid", "n", "small", "comp"), by).alias("hub")).where("c0 < c1")
-        if turn < rounds:
+        lists = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max_by(F.struct("cid", "n", "small", "comp"), F.struct("central", "cid")).alias("hub")).where("c0 < c1")
+        if turn == "hub":
             m = now.join(lists.select("key", "hub"), "key").where(F.col("comp") != F.col("hub.comp")).select("key", "cid", "n", "small", F.col("hub.cid").alias("hub_cid"), F.col("hub.n").alias("hub_n"), F.col("hub.small").alias("hub_small"))
             m = m.where(compatible("n", "hub_n") & ~(F.col("small") & F.col("hub_small")))
             pairs = m.select(F.least("cid", "hub_cid").alias("a"), F.greatest("cid", "hub_cid").alias("b")).distinct()
         else:
-            pairs = rest_pairs(now.join(lists.select("key"), "key", "left_semi").select("key", "cid", "n", "small", "comp"), sets, similarity)
+            pairs = rest_pairs(now.join(lists.select("key"), "key", "left_semi").select("key", "cid", "n", "small", "comp"), sets, similarity, turn == "nearest")
         pairs = checkpointed(pairs if met is None else pairs.join(small_side(met, PAIRS_BROADCAST), ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if turn == rounds:
-                break
-            continue
-        met = pairs if met is None else met.unionByName(pairs)
-        found = checkpointed(verified(pairs, sets, similarity))
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            labels = connected_components(edges)
+        found = None if pairs.isEmpty() else checkpointed(verified(pairs, sets, similarity))
+        if found is not None:
+            met = pairs if met is None else met.unionByName(pairs)
+            if not found.isEmpty():
+                edges = edges.unionByName(found)
+                labels = connected_components(edges)
+        if turn == "nearest":
+            turns.append("nearest" if found is not None and not found.isEmpty() else "all")
     return labels if labels is not None else spark.createDataFrame([], "cid long, comp long")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import labelled_sample
+from vicinal.llm.common import labelled_sample, lean
 
 # Language families by ISO 639-1 code; another code is a family of its own.
 FAMILIES = {
@@ -178,7 +178,7 @@ def train_language_model(docs: DataFrame, per_language: int = 1200, seed: int =
                 ids.append(doc), langs.append(lang), at.append(a.astype(np.int32).tobytes()), values.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(at, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "lang", "at", "v"])
 
-    got = sample.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, "doc_id long, lang string, at binary, v binary").collect()
+    got = sample.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(lean(run), "doc_id long, lang string, at binary, v binary").collect()
     got.sort(key=lambda r: r["doc_id"])
     return fit([(r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["v"], np.float32).astype(np.float64)) for r in got if len(r["at"])])
 
@@ -198,4 +198,4 @@ def identify_languages(spark: SparkSession, docs: DataFrame, model: LanguageMode
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")

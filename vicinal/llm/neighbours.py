@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import checkpointed
+from vicinal.llm.common import checkpointed, lean
 
 #: Hash tables, axes that a query probes in each (as a share of all), and vectors of a bucket in one task.
 TABLES, PROBED, BLOCK = 4, 0.17, 4096
@@ -79,7 +79,7 @@ def hashed(rows: DataFrame, tables: int, share: float | None, seed: int) -> Data
                         k = np.repeat(np.arange(lo, lo + len(b)), b.shape[1])
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), tab, np.int32)), pa.array(np.full(len(k), dim, np.int32)), pa.array(b.ravel().astype(np.int32)), pa.array(ids[k]), pa.array([packed[i] for i in k], pa.binary())], names=["tab", "dim", "bucket", "vec_id", "packed"])
 
-    return rows.select("vec_id", "v", "dim").mapInArrow(run, "tab int, dim int, bucket int, vec_id long, packed binary")
+    return rows.select("vec_id", "v", "dim").mapInArrow(lean(run), "tab int, dim int, bucket int, vec_id long, packed binary")
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinal.llm.common import labelled_sample, table
+from vicinal.llm.common import Recent, labelled_sample, lean, table
 
 BITS = 18
 #: Weight of a word that occurs, and of the share of a word shape, in the features.
@@ -33,17 +34,15 @@ def word_shape(word: str) -> str:
     return out[:12]
 
 
-class WordBuckets(dict):
+class WordBuckets(Recent):
     """(bucket of the word, bucket of its beginning, bucket of its shape) for each raw word."""
 
-    def __missing__(self, raw: str) -> tuple[int, int, int]:
+    def __init__(self, most: int = 50_000):
+        super().__init__(most)
+
+    def make(self, raw: str) -> tuple[int, int, int]:
         word = raw.strip(".,;:!?\"'()[]{}<>*#$%&|-_").lower()
-        value = (_bucket("w" + word), _bucket("b" + word[:5]), _bucket("s" + word_shape(raw)))
-        if len(raw) <= 48:
-            if len(self) >= 300_000:
-                self.clear()
-            self[raw] = value
-        return value
+        return _bucket("w" + word), _bucket("b" + word[:5]), _bucket("s" + word_shape(raw))
 
 
 def statistics(words: list[str], distinct: int) -> list[int]:
@@ -82,7 +81,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - np.asarray(score)[..., None], -50, 50)))
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, rounds: int = 150, rate: float = 0.1, sparsity: float = 1e-3, least_z: float = 6.0) -> OrdinalModel:
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, rounds: int = 400, rate: float = 0.1, sparsity: float = 3e-4, least_z: float = 6.0) -> OrdinalModel:
     """Proximal adaptive-moment steps on the mean likelihood of cumulative logits, with an L1 penalty on the weights.
 
     Only features whose share of rows below and above some grade differs by
@@ -90,7 +89,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n
     copied texts happen to hold say nothing.  The thresholds stay ordered: each
     is the one before plus a positive step.
     """
-    row = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(a) for a, _ in rows])
     col, value = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
     by_grade = np.array([np.bincount(col[grades[row] == g], minlength=1 << BITS) for g in range(n_grades)], float)
     sizes = np.bincount(grades, minlength=n_grades).astype(float)
@@ -138,10 +137,12 @@ def graded_labels(labels: DataFrame) -> DataFrame:
 
 
 N_GRADES = 3
+#: Labelled documents of each grade in the sample, about.
+PER_GRADE = {0: 2500, 1: 2500, 2: 5000}
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, per_grade: int = 2500, seed: int = 4) -> OrdinalModel | None:
-    """Fit on whole texts of a hash sample of about ``per_grade`` labelled documents of each grade; None without labels.
+def train_quality(docs: DataFrame, labels: DataFrame, per_grade: int | dict = PER_GRADE, seed: int = 4) -> OrdinalModel | None:
+    """Fit on whole texts of a hash sample of about ``per_grade`` labelled documents by grade; None without labels.
 
     Features are made on the executors; these, of bounded number, are what the
     driver gets.
@@ -155,34 +156,40 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_grade: int = 2500, see
             got = [features(t.as_py(), buckets) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.astype(np.int32).tobytes() for a, _ in got], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary()), batch.column(2)], names=["doc_id", "at", "v", "grade"])
 
-    got = sorted(chosen.mapInArrow(run, "doc_id long, at binary, v binary, grade int").collect(), key=lambda r: (r["doc_id"], r["at"]))
+    got = sorted(chosen.mapInArrow(lean(run), "doc_id long, at binary, v binary, grade int").collect(), key=lambda r: (r["doc_id"], r["at"]))
     if not got:
         return None
-    rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["v"], np.float32).astype(float)) for r in got]
+    rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["v"], np.float32)) for r in got]
     return fit_ordinal(rows, np.array([r["grade"] for r in got]), N_GRADES)
 
 
+class WordWeights(Recent):
+    """(weight of the word and of its beginning, weight of its shape) for each raw word."""
+
+    def __init__(self, model: OrdinalModel, most: int = 60_000):
+        super().__init__(most)
+        self.weights, self.buckets = model.weights, WordBuckets(1)
+
+    def make(self, raw: str) -> tuple[float, float]:
+        a, b, s = self.buckets.make(raw)
+        return float(self.weights[a]) + float(self.weights[b]), float(self.weights[s])
+
+
 class Scorer:
-    """Scores of whole texts, with the weights of the words seen kept."""
+    """Scores of whole texts."""
 
     def __init__(self, model: OrdinalModel):
-        self.model, self.buckets = model, WordBuckets()
-        self.word: dict[str, float] = {}
-        self.shape: dict[str, float] = {}
+        self.model, self.words = model, WordWeights(model)
 
     def score(self, text: str | None) -> float:
         words = (text or "").split()
-        kinds = set(words)
-        if len(self.word) > 300_000:
-            self.word.clear(), self.shape.clear()
-        w = self.model.weights
-        for raw in kinds:
-            if raw not in self.word:
-                a, b, s = self.buckets[raw]
-                self.word[raw], self.shape[raw] = float(w[a]) + float(w[b]), float(w[s])
-        out = WORD_VALUE * sum(map(self.word.__getitem__, kinds))
-        out += SHAPE_VALUE * sum(map(self.shape.__getitem__, words)) / max(1, len(words))
-        return out + float(w[statistics(words, len(kinds))].sum())
+        counts = Counter(words)
+        word = shape = 0.0
+        for raw, n in counts.items():
+            a, s = self.words[raw]
+            word += a
+            shape += n * s
+        return WORD_VALUE * word + SHAPE_VALUE * shape / max(1, len(words)) + float(self.model.weights[statistics(words, len(counts))].sum())
 
 
 def rate_documents(spark: SparkSession, docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", least: float = 0.4) -> DataFrame:
@@ -206,7 +213,7 @@ def rate_documents(spark: SparkSession, docs: DataFrame, model: OrdinalModel | N
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "quality_expected", "quality_top", "quality_kept"])
 
     schema = T.StructType([*base.schema.fields, T.StructField("quality_expected", T.DoubleType()), T.StructField("quality_top", T.DoubleType()), T.StructField("quality_kept", T.BooleanType())])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import checkpointed
+from vicinal.llm.common import Recent, checkpointed, lean
 
 CAPACITY = 2048
 #: Pieces that one task packs together: a group wastes one sequence at most more than the whole would.
 GROUP_PIECES = 16_384
-#: Words kept with their ids in a Python worker; longer ones than this many bytes aren't kept.
-CACHE_WORDS, CACHE_BYTES = 600_000, 128
+#: Words kept with their ids in a Python worker, twice at most.
+CACHE_WORDS = 150_000
 
 
 def default_tokenizer() -> str:
@@ -29,7 +29,7 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-class WordIds(dict):
+class WordIds(Recent):
     """The ids of each word as little-endian bytes.
 
     The tokenizer drops white space and never joins characters across it, so a
@@ -40,26 +40,20 @@ class WordIds(dict):
 
     MARKS = b".,;:!?"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(most)
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: bytes) -> bytes:
+    def make(self, word: bytes) -> bytes:
         low, stem = word.lower(), word.rstrip(self.MARKS)
         if stem and len(stem) < len(word) and stem.decode()[-1].isalnum():
-            ids = self[stem] + self[word[len(stem) :]]
-        elif low != word and b"<|" not in word:  # special tokens are found before letters are lowered
-            ids = self[low]
-        else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+            return self[stem] + self[word[len(stem) :]]
+        if low != word and b"<|" not in word:  # special tokens are found before letters are lowered
+            return self[low]
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -89,7 +83,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_co
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_two_fit(lengths: Sequence[int], capacity: int = CAPACITY) -> list[list[int]]:

@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.llm.common import lean
+
 # The patterns, and how long a match must be.
 ASSIGN = re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -136,7 +138,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def redact(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
@@ -171,7 +173,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_
                 columns[count] = pa.array([c if a.as_py() == b else len(b) for a, b, c in zip(old, new, columns[count].to_pylist(), strict=True)], kind)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def redact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
