@@ -23,6 +23,8 @@ LINKS_AT_ONCE = 200_000
 PAIRS_BROADCAST = 1_000_000
 #: Rounds in which the most central member of a list stands for all of it.
 HUB_ROUNDS = 1
+#: Mean length of open lists, by members, from which members meet their nearest before all meet.
+LONG_LISTS = 256
 
 
 class WordHashes(Recent):
@@ -349,9 +351,9 @@ def link_components(postings: DataFrame, sets: DataFrame, similarity: int, round
     Two sets that are linked share a key.  First the members of a list meet
     its most central one, so that a list of copies of one text costs a pair for
     each member and not one for each two.  Lists whose members are of one
-    component are done with.  In the others each member then meets the one of
-    another component whose sketch is nearest, again and again until that
-    links nothing new.  At last all members that are still of different
+    component are done with.  Where the others are long, each of their members
+    then meets the one of another component whose sketch is nearest, again and
+    again until that links nothing new or the lists are short.  At last all members that are still of different
     components are compared, by sketches first, so that no link between
     components is lost.
     """
@@ -361,10 +363,14 @@ def link_components(postings: DataFrame, sets: DataFrame, similarity: int, round
 
     spark = postings.sparkSession
     edges, met, labels = spark.createDataFrame([], "a long, b long"), None, None
-    turns = ["hub"] * rounds + ["nearest"]
+    turns = ["hub"] * rounds + ["rest"]
     while turns:
         turn = turns.pop(0)
         now = postings.withColumn("comp", F.col("cid")) if labels is None else postings.join(small_side(labels, PAIRS_BROADCAST), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        if turn == "rest":
+            # The members that an open list's member meets on average, if all meet.
+            n = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).cast("double").alias("n")).where("c0 < c1").agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+            turn = "nearest" if (n or 0.0) > LONG_LISTS else "all"
         lists = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max_by(F.struct("cid", "n", "small", "comp"), F.struct("central", "cid")).alias("hub")).where("c0 < c1")
         if turn == "hub":
             m = now.join(lists.select("key", "hub"), "key").where(F.col("comp") != F.col("hub.comp")).select("key", "cid", "n", "small", F.col("hub.cid").alias("hub_cid"), F.col("hub.n").alias("hub_n"), F.col("hub.small").alias("hub_small"))
@@ -380,7 +386,7 @@ def link_components(postings: DataFrame, sets: DataFrame, similarity: int, round
                 edges = edges.unionByName(found)
                 labels = connected_components(edges)
         if turn == "nearest":
-            turns.append("nearest" if found is not None and not found.isEmpty() else "all")
+            turns.append("rest" if found is not None and not found.isEmpty() else "all")
     return labels if labels is not None else spark.createDataFrame([], "cid long, comp long")
 
 
