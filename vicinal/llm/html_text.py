@@ -156,6 +156,17 @@ LABELLED = (
     (6, 1.0, 50, 0.0, 45, 0.0, 1, 0, 1),
     (140, 0.05, 2, 0.0, 0, 0.0, 1, 0, 1),
     (5, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
+    (3, 0.0, 3, 0.0, 3, 0.0, 1, 0, 1),
+    (4, 0.0, 3, 0.0, 2, 0.0, 1, 0, 1),
+    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1),
+    (2, 0.0, 1, 1.0, 2, 1.0, 1, 0, 1),
+    (5, 0.8, 3, 1.0, 60, 0.0, 1, 0, 1),
+    (8, 0.7, 60, 0.0, 4, 1.0, 1, 0, 1),
+    (25, 0.8, 6, 1.0, 5, 1.0, 1, 0, 1),
+    (40, 0.9, 70, 0.0, 3, 1.0, 1, 0, 1),
+    (6, 0.0, 4, 1.0, 3, 1.0, 1, 0, 1),
+    (9, 0.0, 5, 0.5, 0, 0.0, 1, 0, 1),
+    (3, 0.0, 60, 0.0, 1, 1.0, 1, 0, 1),
     # menus, headers, footers, sidebars, notices, adverts, forms and remarks, wherever they stand
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0),
