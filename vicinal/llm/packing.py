@@ -57,20 +57,20 @@ class WordIds(Recent):
 
 
 @functools.lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, most: int = CACHE_WORDS) -> WordIds:
+    return WordIds(path, most)
 
 
-def text_ids(text: bytes | None, path: str) -> bytes:
+def text_ids(text: bytes | None, path: str, most: int = CACHE_WORDS) -> bytes:
     """Ids of a text in UTF-8 and the closing id 0, four bytes each."""
-    ids = word_ids(path)
+    ids = word_ids(path, most)
     return b"".join([*map(ids.__getitem__, (text or b"").split()), b"\0\0\0\0"])
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row; null text is empty and so one id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +78,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_co
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                ids = text_ids(text.as_py(), path)
+                ids = text_ids(text.as_py(), path, cache_words)
                 rows += [(doc, k, at // 4, len(part) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), step)) if (part := ids[at : at + step])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
@@ -175,9 +175,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
     return grouped.groupBy("group").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str | Callable[[], str] = default_tokenizer, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | Callable[[], str] = default_tokenizer, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Tokenize ``docs`` and pack the pieces; see ``tokenized_pieces`` and ``pack_pieces``."""
-    return pack_pieces(tokenized_pieces(docs, path() if callable(path) else path, capacity, id_col, text_col), capacity, group_pieces)
+    return pack_pieces(tokenized_pieces(docs, path() if callable(path) else path, capacity, id_col, text_col, cache_words), capacity, group_pieces)
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

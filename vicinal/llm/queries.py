@@ -38,7 +38,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pack_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), cache_words=500_000)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
