@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.vectors import squared_euclidean
@@ -72,14 +72,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def dbscan(points: DataFrame, radius: float, min_points: int, metric: str = "euclidean") -> DataFrame:
-    """id and cluster (the least core id of it; null is noise).
+def density_clusters(points: DataFrame, near: DataFrame, min_points: int, eligible: DataFrame | None = None) -> DataFrame:
+    """id and cluster (the least core id of it; null is noise) from the pairs (q, s) of neighbours, each point its own included.
 
-    A core point has ``min_points`` points within ``radius``, itself included.
-    A border point goes to the cluster with the least number among its cores'.
+    A core point has ``min_points`` neighbours and, if ``eligible`` ids are
+    given, is one of them.  A border point goes to the cluster with the least
+    number among its cores'.
     """
-    near = cut(range_join(points, points, radius, metric).select("q", "s"))
-    core = cut(near.groupBy("q").count().where(F.col("count") >= min_points).select(F.col("q").alias("id")))
+    core = near.groupBy("q").count().where(F.col("count") >= min_points).select(F.col("q").alias("id"))
+    core = cut(core if eligible is None else core.join(eligible.select("id"), "id", "left_semi"))
     links = near.join(core.withColumnRenamed("id", "q"), "q", "left_semi").join(core.withColumnRenamed("id", "s"), "s", "left_semi")
     comp = components(links.select(F.col("q").alias("a"), F.col("s").alias("b")))
     reach = near.join(comp.withColumnRenamed("id", "s"), "s").groupBy("q").agg(F.min("comp").alias("border"))
@@ -87,6 +88,11 @@ def dbscan(points: DataFrame, radius: float, min_points: int, metric: str = "euc
     return own.select("id", F.coalesce("comp", "border").alias("cluster"))
 
 
+def dbscan(points: DataFrame, radius: float, min_points: int, metric: str = "euclidean") -> DataFrame:
+    """``density_clusters`` of the points within ``radius`` of each other."""
+    return density_clusters(points, cut(range_join(points, points, radius, metric).select("q", "s")), min_points)
+
+
 def single_link(points: DataFrame, radius: float, metric: str = "euclidean") -> DataFrame:
     """id and cluster of the single-link dendrogram cut at ``radius``: components of all pairs within it."""
     return components(range_join(points, points, radius, metric).select(F.col("q").alias("a"), F.col("s").alias("b"))).select("id", F.col("comp").alias("cluster"))
@@ -98,3 +104,50 @@ def snn_similarity(points: DataFrame, k: int) -> DataFrame:
 
     near = knn_join(points, points, k, exclude_self=True).select("q", "s")
     return near.join(near.select(F.col("q").alias("t"), "s"), "s").where("q < t").groupBy("q", "t").agg(F.count(F.lit(1)).alias("common")).withColumnRenamed("t", "s")
+
+
+def snn_clustering(points: DataFrame, k: int, least: int, min_points: int) -> DataFrame:
+    """``density_clusters`` of pairs with at least ``least`` common neighbours of ``k``; each point is its own neighbour."""
+    near = snn_similarity(points, k).where(F.col("common") >= least).select("q", "s")
+    both = near.unionByName(near.select(F.col("s").alias("q"), F.col("q").alias("s"))).unionByName(points.select(F.col("id").alias("q"), F.col("id").alias("s")))
+    return density_clusters(points, cut(both), min_points)
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """The least spanning forest of edges (a, b, w): in each round every component takes its least edge out.
+
+    Edges of equal weight are ordered by their ids, so that the forest is
+    unique.  At most log2(n) rounds, each a join on the ends' components.
+    """
+    edges = cut(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w")))
+    live, out = edges.withColumns({"ca": F.col("a"), "cb": F.col("b")}), None
+    while not live.isEmpty():
+        ends = live.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("w", "a", "b", "ca", "cb").alias("e"))
+        taken = cut(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
+        chosen = taken.select("a", "b", "w")
+        out = chosen if out is None else out.unionByName(chosen)
+        comp = components(taken.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        for end in ("ca", "cb"):
+            live = live.join(comp.select(F.col("id").alias(end), F.col("comp").alias("to")), end).withColumn(end, F.col("to")).drop("to")
+        live = cut(live.where("ca <> cb").select("a", "b", "w", "ca", "cb"))
+    return edges.where("false") if out is None else out.select("a", "b", "w")
+
+
+def single_link_merges(points: DataFrame, radius: float, metric: str = "euclidean") -> DataFrame:
+    """a, b, w: the pairs at which single-link clusters merge, up to ``radius``; in the order of w they are the dendrogram."""
+    return spanning_forest(range_join(points, points, radius, metric).where("q < s").select(F.col("q").alias("a"), F.col("s").alias("b"), F.col("d").alias("w")))
+
+
+def optics_merges(points: DataFrame, radius: float, min_points: int, metric: str = "euclidean") -> DataFrame:
+    """a, b, w: as ``single_link_merges``, of the distances that density-ordered clusterings use.
+
+    That is the greatest of the distance and both ends' core distances (that of
+    the ``min_points``-th neighbour, the point itself included), of pairs of
+    core points.  Cut at any w up to ``radius`` it gives the core parts of
+    ``dbscan`` with that radius; an order that one task would have to walk is
+    not built.
+    """
+    near = cut(range_join(points, points, radius, metric))
+    core = cut(near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "s"))).where(F.col("rank") == min_points).select("q", F.col("d").alias("core")))
+    pairs = near.where("q < s").join(core, "q").join(core.select(F.col("q").alias("s"), F.col("core").alias("s_core")), "s")
+    return spanning_forest(pairs.select(F.col("q").alias("a"), F.col("s").alias("b"), F.greatest("d", "core", "s_core").alias("w")))

@@ -60,9 +60,11 @@ def _block(q_ids: np.ndarray, q: np.ndarray, s_ids: np.ndarray, s: np.ndarray, m
     return pd.DataFrame({"q": join(out_q, "int64"), "s": join(out_s, "int64"), "d": join(out_d, "float64")})
 
 
-def _candidates(r: DataFrame, s: DataFrame, metric: str, k: int | None, ties: bool, radius: float | None) -> DataFrame:
-    """Per block of ``s``, what a query may need; the small side is broadcast if its counted size allows, else blocks meet."""
-    schema = "q long, s long, d double"
+def block_join(r: DataFrame, s: DataFrame, find: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``find`` (ids and vectors of both sides) returns for blocks of both sides, each pair of points in one block.
+
+    The small side is broadcast if its counted size allows, else blocks meet.
+    """
     r = r.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
     s = s.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
     n_s, dim = s.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
@@ -74,7 +76,7 @@ def _candidates(r: DataFrame, s: DataFrame, metric: str, k: int | None, ties: bo
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 if len(part):
-                    yield _block(part["id"].to_numpy(), _matrix(part["v"]), *shared.value, metric, k, ties, radius)
+                    yield find(part["id"].to_numpy(), _matrix(part["v"]), *shared.value)
 
         return r.repartition(tasks, "id").mapInPandas(run, schema)
     n_r = r.count()
@@ -83,11 +85,16 @@ def _candidates(r: DataFrame, s: DataFrame, metric: str, k: int | None, ties: bo
     right = s.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(cols)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _block(a["id"].to_numpy(), _matrix(a["v"]), b["id"].to_numpy(), _matrix(b["v"]), metric, k, ties, radius)
+        return find(a["id"].to_numpy(), _matrix(a["v"]), b["id"].to_numpy(), _matrix(b["v"]))
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, schema)
 
 
+def _candidates(r: DataFrame, s: DataFrame, metric: str, k: int | None, ties: bool, radius: float | None) -> DataFrame:
+    """Per block of ``s``, what a query may need."""
+    return block_join(r, s, lambda qi, q, si, x: _block(qi, q, si, x, metric, k, ties, radius), "q long, s long, d double")
+
+
 def knn_join(r: DataFrame, s: DataFrame, k: int, metric: str = "euclidean", ties: bool = False, exclude_self: bool = False) -> DataFrame:
     """The ``k`` nearest points of ``s`` for each of ``r``: q, s, d and rank.
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.vectors import erf
+from vicinal.operators.clustering import snn_similarity
 from vicinal.operators.knn import knn_join, range_join
+from vicinal.plans.lineage import cut
 
 
 def knn_outlier(points: DataFrame, k: int) -> DataFrame:
@@ -117,3 +120,90 @@ def reference_based(points: DataFrame, references: list[list[float]], k: int) ->
     least = gap.groupBy("id").agg(F.min(1 / F.col("gap")).alias("density"))
     most = least.agg(F.max("density").alias("m"))
     return least.join(F.broadcast(most)).select("id", (1 - F.col("density") / F.col("m")).alias("score"))
+
+
+def inflo(points: DataFrame, k: int, mutual: float = 1.0) -> DataFrame:
+    """The mean density (1 over the k-distance) of the influence space over the point's own.
+
+    The influence space is the set of the ``k`` nearest and of the points whose
+    ``k`` nearest the point is among.  Where at least a share of ``mutual`` of
+    the nearest are mutual, the score is 1.
+    """
+    near = cut(knn_join(points, points, k, exclude_self=True).select("q", "s", "d"))
+    density = cut(near.groupBy("q").agg((1 / F.max("d")).alias("den"), F.count(F.lit(1)).alias("n")))
+    back = near.select(F.col("s").alias("q"), F.col("q").alias("s"))
+    both = near.join(back, ["q", "s"], "left_semi").groupBy("q").agg(F.count(F.lit(1)).alias("both"))
+    space = near.select("q", "s").unionByName(back).distinct().join(density.select(F.col("q").alias("s"), F.col("den").alias("s_den")), "s")
+    around = space.groupBy("q").agg(F.avg("s_den").alias("mean"))
+    score = F.when(F.coalesce("both", F.lit(0)) >= mutual * F.col("n"), 1.0).otherwise(F.col("mean") / F.col("den"))
+    return density.join(around, "q").join(both, "q", "left").select(F.col("q").alias("id"), score.alias("score"))
+
+
+def loci(points: DataFrame, radius: float, least: int = 20, alpha: float = 0.5) -> DataFrame:
+    """The largest ratio, over radii up to ``radius``, of the deviation from the mean count to its standard deviation.
+
+    Counts are of points within ``alpha`` times the radius, for each point
+    within the radius (itself included); radii are the distances to neighbours
+    and these over ``alpha``; radii with fewer than ``least`` points do not
+    count.  0 where there is none.  A task holds the neighbourhood of one point
+    at a time, which ``radius`` bounds.
+    """
+    near = cut(range_join(points, points, radius))
+    lists = near.where(F.col("d") <= alpha * radius).groupBy("q").agg(F.sort_array(F.collect_list("d")).alias("ds"))
+    joined = near.join(lists.withColumnRenamed("q", "s"), "s").select("q", "s", "d", "ds")
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        d, q = rows["d"].to_numpy(), rows["q"].iloc[0]
+        radii = np.unique(np.concatenate([d, d / alpha]))
+        radii = radii[radii <= radius]
+        inside = d[:, None] <= radii[None, :]
+        counts = np.array([np.searchsorted(np.asarray(ds), alpha * radii, side="right") for ds in rows["ds"]], float)
+        n = inside.sum(axis=0)
+        mean = (counts * inside).sum(axis=0) / n
+        deviation = np.sqrt(((counts - mean) ** 2 * inside).sum(axis=0) / n)
+        own = counts[np.flatnonzero(rows["s"].to_numpy() == q)[0]]
+        use = (n >= least) & (deviation > 0)
+        return pd.DataFrame({"id": [q], "score": [float(((mean - own)[use] / deviation[use]).max()) if use.any() else 0.0]})
+
+    return joined.groupBy("q").applyInPandas(score, "id long, score double")
+
+
+def abod(points: DataFrame, k: int) -> DataFrame:
+    """The weighted variance of the angles at a point between pairs of its ``k`` nearest; low scores are outliers.
+
+    An angle counts as the scalar product over the product of the squared
+    lengths, with 1 over the product of the lengths as its weight; variance as
+    in ``attribute_moments``' running form, each pair taken in both orders.
+    Neighbours at distance 0 make no angle.
+    """
+    from vicinal.functions.vectors import dot
+
+    near = knn_join(points, points, k, exclude_self=True).where("d > 0").select("q", "s", "d")
+    v = points.select("id", F.col("v").cast("array<double>").alias("v"))
+    rays = near.join(v.select(F.col("id").alias("q"), F.col("v").alias("o")), "q").join(v.withColumnRenamed("id", "s"), "s")
+    rays = cut(rays.select("q", "s", F.zip_with("v", "o", lambda x, y: x - y).alias("ray")))
+    pairs = rays.join(rays.select("q", F.col("s").alias("t"), F.col("ray").alias("other")), "q").where("s < t")
+    scale = dot(F.col("ray"), F.col("ray")) * dot(F.col("other"), F.col("other"))
+    angles = pairs.select("q", (dot(F.col("ray"), F.col("other")) / scale).alias("x"), (2 / F.sqrt(scale)).alias("w"))
+    x, w = F.col("x"), F.col("w")
+    variance = F.sum(w * x * x) / (F.sum(w) - 1) - F.pow(F.sum(w * x) / F.sum(w), 2)
+    return angles.groupBy(F.col("q").alias("id")).agg(variance.alias("score"))
+
+
+def sod(points: DataFrame, k: int, references: int, alpha: float = 1.1) -> DataFrame:
+    """The distance to the centre of the ``references`` points with most common neighbours, in the attributes where these vary little, over their number.
+
+    Little is below ``alpha`` times the mean variance over all attributes.
+    Equal counts go to the smaller id; 0 where no attribute is left.
+    """
+    from vicinal.operators.statistics import components_of
+
+    shared = snn_similarity(points, k)
+    both = shared.unionByName(shared.select(F.col("s").alias("q"), F.col("q").alias("s"), "common"))
+    chosen = both.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("common").desc(), "s"))).where(F.col("rank") <= references)
+    cells = components_of(points)
+    spread = cut(chosen.select("q", F.col("s").alias("id")).join(cells, "id").groupBy("q", "dim").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var")))
+    bar = spread.groupBy("q").agg((alpha * F.avg("var")).alias("bar"))
+    kept = spread.join(bar, "q").where(F.col("var") < F.col("bar")).withColumnRenamed("q", "id").join(cells, ["id", "dim"])
+    found = kept.groupBy("id").agg((F.sqrt(F.sum(F.pow(F.col("x") - F.col("mean"), 2))) / F.count(F.lit(1))).alias("score"))
+    return points.select("id").join(found, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from itertools import combinations, product
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.vectors import erf
+from vicinal.operators.knn import KERNELS, block_join
 
 
 def components_of(points: DataFrame) -> DataFrame:
@@ -68,6 +71,97 @@ def strong_components(values: np.ndarray, alpha: float = 0.85) -> int:
     return int(np.searchsorted(np.cumsum(values) / values.sum(), alpha - 1e-12) + 1)
 
 
+def eigenpair_filter(values: np.ndarray, kind: str, x: float) -> np.ndarray:
+    """Which of the eigenvalues, largest first, are strong, as booleans.
+
+    ``first``: the first ``x``.  ``share``: until a share of ``x`` of the sum
+    is reached.  ``progressive``: as ``share``, of what lies above an even
+    spread: the bar for the i-th of n is 1 - (1 - x) (1 - i / n).  ``relative``: from the
+    smallest up, the first that is ``x`` times the mean of itself and smaller
+    ones, and all above.  ``significant``: all above the widest such ratio,
+    among those of at least ``x`` times the mean.  ``weak``: those above ``x``
+    times the mean, or all if there is none.  ``absolute``: those of at least
+    ``x``; ``limit``: of at least ``x`` times the largest.
+    """
+    values = np.asarray(values, float)
+    n = len(values)
+    tail = np.cumsum(values[::-1])[::-1] / np.arange(n, 0, -1)
+    ratio = np.divide(values, tail, out=np.zeros(n), where=tail > 0)
+    head = np.cumsum(values) / values.sum() if values.sum() else np.ones(n)
+    place = np.arange(n)
+    if kind == "first":
+        return place < x
+    if kind in ("share", "progressive"):
+        bar = x if kind == "share" else 1 - (1 - x) * (1 - (place + 1) / n)
+        reached = np.flatnonzero(head >= bar - 1e-12)
+        return place <= (reached[0] if len(reached) else n - 1)
+    if kind == "relative":
+        at = np.flatnonzero(ratio[:-1] >= x)
+        return place <= at[-1] if len(at) else np.ones(n, bool)
+    if kind == "significant":
+        held = np.where(values[:-1] >= x * values.mean(), ratio[:-1], -1.0)
+        return place <= int(held.argmax()) if len(held) and held.max() > 0 else np.ones(n, bool)
+    if kind == "weak":
+        strong = values > x * values.mean()
+        return strong if strong.any() else np.ones(n, bool)
+    return np.abs(values) >= (x if kind == "absolute" else x * np.abs(values).max())
+
+
+def reference_points(points: DataFrame, kind: str, cells: int = 1, scale: float = 1.0) -> list[list[float]]:
+    """Points to measure from, of the bounding box widened by ``scale`` about its middle.
+
+    ``grid``: ``cells`` + 1 values an attribute, all combinations (0: the
+    middle alone).  ``axis``: the lowest corner, the highest, and for each
+    attribute the lowest corner with that one at its highest.  ``star``: the
+    centroid, and for each attribute the centroid with that one at its lowest
+    and its highest.
+    """
+    box = attribute_ranges(points).orderBy("dim").collect()
+    middle = np.array([(r["low"] + r["high"]) / 2 for r in box])
+    half = np.array([(r["high"] - r["low"]) / 2 for r in box]) * scale
+    low, high = middle - half, middle + half
+    if kind == "grid":
+        steps = [np.linspace(a, b, cells + 1) if cells else [m] for a, b, m in zip(low, high, middle, strict=True)]
+        return [list(map(float, p)) for p in product(*steps)]
+    moved = lambda base, i, x: [*base[:i].tolist(), float(x), *base[i + 1 :].tolist()]
+    if kind == "axis":
+        return [low.tolist(), high.tolist()] + [moved(low, i, high[i]) for i in range(len(low))]
+    mean = np.array([r["mean"] for r in centroid(points).orderBy("dim").collect()])
+    return [mean.tolist()] + [moved(mean, i, x) for i in range(len(mean)) for x in (low[i], high[i])]
+
+
+def sample_points(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` points chosen by the hash of their ids, the same in every run."""
+    return points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+
+
+def distance_statistics(points: DataFrame, label: str, bins: int, high: float, metric: str = "euclidean") -> DataFrame:
+    """same (label or not), bin, n, low, high and total of the distances of all ordered pairs of different points.
+
+    Distances in [0, ``high``) fall into ``bins`` of equal width, greater ones
+    into the next.  Labels are numbers.  Tasks return sums, never pairs.
+    """
+    marked = points.select("id", F.concat(F.col("v").cast("array<double>"), F.array(F.col(label).cast("double"))).alias("v"))
+
+    def sums(q_ids: np.ndarray, q: np.ndarray, s_ids: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        n, low, top, total = np.zeros(2 * (bins + 1), np.int64), np.full(2 * (bins + 1), np.inf), np.zeros(2 * (bins + 1)), np.zeros(2 * (bins + 1))
+        step = max(1, (1 << 21) // max(1, s.size))
+        for at in range(0, len(q) if len(s) else 0, step):
+            part = q[at : at + step]
+            other = q_ids[at : at + step, None] != s_ids[None, :]
+            d = KERNELS[metric](part[:, :-1], s[:, :-1])[other]
+            cell = np.minimum(np.floor(d / (high / bins)).astype(np.int64), bins) * 2 + (part[:, None, -1] == s[None, :, -1])[other]
+            n += np.bincount(cell, minlength=len(n))
+            total += np.bincount(cell, d, len(n))
+            np.minimum.at(low, cell, d)
+            np.maximum.at(top, cell, d)
+        out = pd.DataFrame({"same": np.arange(len(n)) % 2 == 1, "bin": (np.arange(len(n)) // 2).astype("int32"), "n": n, "low": low, "high": top, "total": total})
+        return out[out["n"] > 0]
+
+    found = block_join(marked, marked, sums, "same boolean, bin int, n long, low double, high double, total double")
+    return found.groupBy("same", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"))
+
+
 def histogram(rows: DataFrame, x: str, bins: int, low: float, high: float) -> DataFrame:
     """bin (from 0; the highest value falls into the last) and n."""
     width = (high - low) / bins
@@ -75,6 +169,12 @@ def histogram(rows: DataFrame, x: str, bins: int, low: float, high: float) -> Da
     return rows.where(F.col(x).between(low, high)).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def outlier_histogram(rows: DataFrame, bins: int, low: float, high: float) -> DataFrame:
+    """bin, n, and how many are positive, from rows (score, positive)."""
+    at = F.when(F.col("score") == high, bins - 1).otherwise(F.floor((F.col("score") - low) / ((high - low) / bins)))
+    return rows.where(F.col("score").between(low, high)).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("positive").cast("int")).alias("positive"))
+
+
 def linear_regression(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
@@ -120,6 +220,42 @@ def deviation_scaling(scores: DataFrame, lam: float = 3.0) -> DataFrame:
     return scores.join(F.broadcast(s)).select("id", F.when(F.col("score") <= F.col("m"), 0.0).otherwise(F.greatest(F.lit(0.0), erf(z))).alias("score"))
 
 
+def regularized_gamma(k: float, x: np.ndarray) -> np.ndarray:
+    """The lower incomplete gamma function over the complete one, by its power series."""
+    x = np.maximum(np.asarray(x, float), 0.0)
+    small = np.minimum(x, k + 40 * math.sqrt(k + 1) + 100)  # beyond it the function is 1 to the last digit
+    term = np.ones_like(small)
+    total, n = term.copy(), 0
+    while np.any(term > total * 1e-17):
+        n += 1
+        term = term * small / (k + n)
+        total += term
+    with np.errstate(divide="ignore"):
+        return np.minimum(1.0, np.where(x > 0, np.exp(k * np.log(small) - small - math.lgamma(k + 1)) * total, 0.0))
+
+
+def gamma_scaling(scores: DataFrame) -> DataFrame:
+    """The gamma distribution's share below a score beyond that below the mean, 0 up to the mean.
+
+    The distribution has the scores' mean and running variance; scores are not
+    negative.  Where they do not vary, all are 0.
+    """
+    x = F.col("score")
+    row = scores.agg(F.avg(x), F.sum(x * x) / (F.count(x) - 1) - F.pow(F.avg(x), 2)).first()
+    if not row[1] or row[1] <= 0 or row[0] <= 0:
+        return scores.select("id", F.when(x.isNotNull(), 0.0).alias("score"))
+    mean, variance = row
+    k, theta = mean * mean / variance, variance / mean
+    base = float(regularized_gamma(k, np.array([mean / theta]))[0])
+
+    @F.pandas_udf("double")
+    def scaled(s: pd.Series) -> pd.Series:
+        out = np.maximum(0.0, (regularized_gamma(k, s.fillna(0).to_numpy() / theta) - base) / (1 - base))
+        return pd.Series(out, index=s.index).where(s.notna())
+
+    return scores.select("id", scaled(x.cast("double")).alias("score"))
+
+
 def top_k_scaling(scores: DataFrame, k: int) -> DataFrame:
     """1 for scores of at least the k-th, else 0."""
     bar = scores.orderBy(F.col("score").desc()).limit(k).agg(F.min("score").alias("bar"))

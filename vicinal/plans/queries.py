@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from vicinal.functions import vectors as V
 from vicinal.operators import clustering as C
 from vicinal.operators import knn as K
+from vicinal.operators import mixtures as M
 from vicinal.operators import outliers as O
 from vicinal.operators import statistics as S
+from vicinal.operators import subspaces as U
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,10 +105,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(K.knn_join(e, e, 5).select("q", "s", "rank", "d"), "d")
 
 
+def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in the plane of size and price over 25."""
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 25).alias("v"))
+
+
 def dbscan_query(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of parts in the plane of size and price over 25."""
-    p = _table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 25).alias("v"))
-    return C.dbscan(p, 1.0, 4)
+    return C.dbscan(plane(spark, d), 1.0, 4)
 
 
 def zorder_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -172,6 +178,25 @@ def queries() -> dict[str, Query]:
         "dbscan": dbscan_query,
         "single_link": lambda s, d: C.single_link(embeddings(s, d), 0.8),
         "snn_similarity": lambda s, d: C.snn_similarity(embeddings(s, d), 10),
+        "snn_clustering": lambda s, d: C.snn_clustering(embeddings(s, d), 10, 4, 4),
+        "single_link_merges": lambda s, d: rounded(C.single_link_merges(embeddings(s, d), 1.1), "w"),
+        "optics_merges": lambda s, d: rounded(C.optics_merges(plane(s, d), 1.5, 4), "w"),
+        "inflo": _scores(lambda e: O.inflo(e, 10, 0.7)),
+        "loci": lambda s, d: rounded(O.loci(plane(s, d), 3.0, 10), "score"),
+        "abod": _scores(lambda e: O.abod(e, 8)),
+        "sod": _scores(lambda e: O.sod(e, 10, 8)),
+        "knn_preferences": lambda s, d: U.knn_preferences(embeddings(s, d), 0.02, 10).select("id", F.concat_ws(",", "dims").alias("dims")),
+        "predecon": lambda s, d: U.predecon(plane(s, d), 2.0, 3, 1.2, 1, 4.0),
+        "four_c": lambda s, d: U.four_c(plane(s, d), 2.0, 3, 0.5, 1, 4.0),
+        "local_pca": lambda s, d: rounded(U.local_pca(plane(s, d), K.knn_join(plane(s, d), plane(s, d), 8)).select("id", F.col("eigenvalues")[0].alias("first"), F.col("eigenvalues")[1].alias("second")), "first", "second"),
+        "dense_units": lambda s, d: U.dense_units(parts(s, d), 10, 0.012),
+        "clique": lambda s, d: U.clique(parts(s, d), 10, 0.012),
+        "em": lambda s, d: rounded(M.em(plane(s, d), 3, 10, start=[[10.0, 40.0], [25.0, 55.0], [40.0, 70.0]]), "p"),
+        "em_outlier": lambda s, d: rounded(M.em_outlier(plane(s, d), 3, max_iter=10, start=[[10.0, 40.0], [25.0, 55.0], [40.0, 70.0]]), "score"),
+        "gamma_scaling": lambda s, d: rounded(S.gamma_scaling(part_price(s, d)), "score"),
+        "distance_statistics": lambda s, d: rounded(S.distance_statistics(embeddings(s, d), "label", 20, 2.0), "low", "high", "total"),
+        "outlier_histogram": lambda s, d: S.outlier_histogram(toxic(s, d), 20, 0.0, 4000.0),
+        "reference_points_star": lambda s, d: s.createDataFrame([(n, *p) for n, p in enumerate(S.reference_points(parts(s, d), "star"))], "n int, x double, y double").select("n", F.round("x", DIGITS).alias("x"), F.round("y", DIGITS).alias("y")),
     }
 
 
@@ -219,5 +244,15 @@ def oracle_sql() -> dict[str, str]:
         "cluster_by_label": "SELECT vec_id AS id, label::VARCHAR AS cluster FROM embeddings",
         "label_hierarchy": "WITH l AS (SELECT DISTINCT source AS x FROM documents WHERE source IS NOT NULL) SELECT a.x AS parent, b.x AS child FROM l a JOIN l b ON a.x <> b.x AND starts_with(b.x, a.x)",
         "kmeans": f"WITH {P}, a AS (SELECT *, {dist3([(10.0, 950.0), (25.0, 1300.0), (40.0, 1700.0)])} FROM p), m AS (SELECT {nearest_mean()} AS c, avg(x) AS mx, avg(y) AS my FROM a GROUP BY 1), b AS (SELECT id, c, (x - mx) * (x - mx) + (y - my) * (y - my) AS d FROM p, m) SELECT id, c AS cluster FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, c) AS r FROM b) WHERE r = 1",
+        "inflo": f"WITH {RX}, n AS (SELECT q, s, d FROM r WHERE rank <= 10), den AS (SELECT q, 1 / max(d) AS den FROM n GROUP BY q), mu AS (SELECT a.q, count(*) AS c FROM n a JOIN n b ON a.q = b.s AND a.s = b.q GROUP BY a.q), i AS (SELECT q, s FROM n UNION SELECT s, q FROM n), m AS (SELECT i.q, avg(den) AS mean FROM i JOIN den ON i.s = den.q GROUP BY i.q) SELECT q AS id, {r6('CASE WHEN coalesce(c, 0) >= 0.7 * 10 THEN 1.0 ELSE mean / den END')} FROM den JOIN m USING (q) LEFT JOIN mu USING (q)",
+        "loci": f"WITH p AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice / 25 AS y FROM part), near AS (SELECT a.id AS p, b.id AS s, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3), n AS (SELECT * FROM near WHERE d <= 3), rad AS (SELECT DISTINCT p, r FROM (SELECT p, d AS r FROM n UNION ALL SELECT p, d / 0.5 FROM n) WHERE r <= 3), c AS (SELECT rad.p, rad.r, a.s, count(*) AS c FROM rad JOIN n a ON a.p = rad.p AND a.d <= rad.r JOIN n b ON b.p = a.s AND b.d <= 0.5 * rad.r GROUP BY 1, 2, 3), g AS (SELECT p, r, count(*) AS n, avg(c) AS mean, stddev_pop(c) AS sd, max(c) FILTER (s = p) AS own FROM c GROUP BY 1, 2) SELECT p AS id, {r6('coalesce(max((mean - own) / sd) FILTER (n >= 10 AND sd > 1e-12), 0.0)')} FROM g GROUP BY p",
+        "abod": f"WITH {RX}, n AS (SELECT q, s, list_transform(list_zip(b.v, a.v), lambda z: z[1] - z[2]) AS v FROM r JOIN e a ON a.id = q JOIN e b ON b.id = s WHERE rank <= 8 AND d > 0), g AS (SELECT a.q, list_dot_product(a.v, b.v) AS num, list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v) AS den FROM n a JOIN n b ON a.q = b.q AND a.s <> b.s), h AS (SELECT q, num / den AS x, 1 / sqrt(den) AS w FROM g) SELECT q AS id, {r6('sum(w * x * x) / (sum(w) - 1) - (sum(w * x) / sum(w)) * (sum(w * x) / sum(w))')} FROM h GROUP BY q",
+        "sod": f"WITH {RX}, {X}, n AS (SELECT q, s FROM r WHERE rank <= 10), sim AS (SELECT a.q, b.q AS s, count(*) AS c FROM n a JOIN n b ON a.s = b.s AND a.q <> b.q GROUP BY 1, 2), top AS (SELECT q, s FROM (SELECT q, s, row_number() OVER (PARTITION BY q ORDER BY c DESC, s) AS k FROM sim) WHERE k <= 8), sp AS (SELECT q, dim, avg(x) AS mean, var_pop(x) AS var FROM top JOIN x ON x.id = top.s GROUP BY 1, 2), bar AS (SELECT q, 1.1 * avg(var) AS bar FROM sp GROUP BY q), k AS (SELECT sp.q, sqrt(sum((x - mean) * (x - mean))) / count(*) AS score FROM sp JOIN bar ON bar.q = sp.q AND var < bar JOIN x ON x.id = sp.q AND x.dim = sp.dim GROUP BY sp.q) SELECT id, {r6('coalesce(score, 0.0)')} FROM e LEFT JOIN k ON k.q = e.id",
+        "knn_preferences": f"WITH {R}, {X}, n AS (SELECT q, s FROM r WHERE rank <= 10), v AS (SELECT n.q, a.dim, avg((b.x - a.x) * (b.x - a.x)) AS var FROM n JOIN x b ON b.id = n.s JOIN x a ON a.id = n.q AND a.dim = b.dim GROUP BY 1, 2) SELECT q AS id, coalesce(string_agg(dim::VARCHAR, ',' ORDER BY dim) FILTER (var < 0.02), '') AS dims FROM v GROUP BY q",
+        "local_pca": f"WITH p AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice / 25 AS y FROM part), r AS (SELECT a.id AS q, b.x, b.y, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS k FROM p a, p b), m AS (SELECT q, covar_pop(x, x) AS a, covar_pop(x, y) AS b, covar_pop(y, y) AS c FROM r WHERE k <= 8 GROUP BY q) SELECT q AS id, round((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b), {DIGITS}) AS first, round((a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b), {DIGITS}) AS second FROM m",
+        "dense_units": f"WITH {P}, l AS (SELECT id, '0:' || floor((x - min(x) OVER ()) / ((max(x) OVER () + 0.0001 - min(x) OVER ()) / 10))::BIGINT AS a, '1:' || floor((y - min(y) OVER ()) / ((max(y) OVER () + 0.0001 - min(y) OVER ()) / 10))::BIGINT AS b FROM p), u AS (SELECT a AS unit, count(*) AS support FROM l GROUP BY 1 UNION ALL SELECT b, count(*) FROM l GROUP BY 1 UNION ALL SELECT a || ',' || b, count(*) FROM l GROUP BY 1) SELECT * FROM u WHERE support >= ceil(0.012 * (SELECT count(*) FROM p) - 1e-9)",
+        "distance_statistics": f"WITH {D}, t AS (SELECT a.label = b.label AS same, least(floor(d / 0.1), 20)::INT AS bin, d FROM d JOIN e a ON a.id = q JOIN e b ON b.id = s WHERE q <> s) SELECT same, bin, count(*) AS n, round(min(d), {DIGITS}) AS low, round(max(d), {DIGITS}) AS high, round(sum(d), {DIGITS}) AS total FROM t GROUP BY 1, 2",
+        "outlier_histogram": "SELECT (CASE WHEN n_chars = 4000 THEN 19 ELSE floor(n_chars / 200.0) END)::INT AS bin, count(*) AS n, sum(toxic = 1)::BIGINT AS positive FROM documents JOIN labels USING (doc_id) WHERE n_chars BETWEEN 0 AND 4000 GROUP BY 1",
+        "reference_points_star": f"WITH {P}, m AS (SELECT avg(x) AS x, avg(y) AS y, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p), o AS (SELECT 0 AS n, x, y FROM m UNION ALL SELECT 1, lx, y FROM m UNION ALL SELECT 2, hx, y FROM m UNION ALL SELECT 3, x, ly FROM m UNION ALL SELECT 4, x, hy FROM m) SELECT n, round(x, {DIGITS}) AS x, round(y, {DIGITS}) AS y FROM o",
         "snn_similarity": f"WITH {RX}, n AS (SELECT q, s FROM r WHERE rank <= 10) SELECT a.q, b.q AS s, count(*) AS common FROM n a JOIN n b ON a.s = b.s AND a.q < b.q GROUP BY 1, 2",
     }
