@@ -122,13 +122,20 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w")))
     live, out = edges.withColumns({"ca": F.col("a"), "cb": F.col("b")}), None
     while not live.isEmpty():
-        ends = live.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("w", "a", "b", "ca", "cb").alias("e"))
-        taken = cut(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
-        chosen = taken.select("a", "b", "w")
+        ends = live.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("cb").alias("to")), F.struct(F.col("cb").alias("c"), F.col("ca").alias("to")))).alias("end"), "w", "a", "b")
+        taken = cut(ends.groupBy("end.c").agg(F.min(F.struct("w", "a", "b", "end.to")).alias("e")).select("c", "e.*"))
+        chosen = taken.select("a", "b", "w").distinct()
         out = chosen if out is None else out.unionByName(chosen)
-        comp = components(taken.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        # Every component points at the one that its edge leads to; the two that point at each other are the root.
+        back = taken.select(F.col("c").alias("to"), F.col("to").alias("back"))
+        roots = taken.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
+        while True:
+            hops = cut(roots.join(roots.select(F.col("c").alias("to"), F.col("to").alias("far")), "to"))
+            roots = hops.select("c", F.col("far").alias("to"))
+            if hops.where("far <> to").isEmpty():
+                break
         for end in ("ca", "cb"):
-            live = live.join(comp.select(F.col("id").alias(end), F.col("comp").alias("to")), end).withColumn(end, F.col("to")).drop("to")
+            live = live.join(roots.withColumnRenamed("c", end), end).withColumn(end, F.col("to")).drop("to")
         live = cut(live.where("ca <> cb").select("a", "b", "w", "ca", "cb"))
     return edges.where("false") if out is None else out.select("a", "b", "w")
 

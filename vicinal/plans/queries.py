@@ -180,7 +180,7 @@ def queries() -> dict[str, Query]:
         "snn_similarity": lambda s, d: C.snn_similarity(embeddings(s, d), 10),
         "snn_clustering": lambda s, d: C.snn_clustering(embeddings(s, d), 10, 4, 4),
         "single_link_merges": lambda s, d: rounded(C.single_link_merges(embeddings(s, d), 1.1), "w"),
-        "optics_merges": lambda s, d: rounded(C.optics_merges(plane(s, d), 1.5, 4), "w"),
+        "optics_merges": lambda s, d: rounded(C.optics_merges(embeddings(s, d), 1.2, 4), "w"),
         "inflo": _scores(lambda e: O.inflo(e, 10, 0.7)),
         "loci": lambda s, d: rounded(O.loci(plane(s, d), 3.0, 10), "score"),
         "abod": _scores(lambda e: O.abod(e, 8)),
