@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder; one of our own is set only where there is none, as in tests."""
+    """``df`` written to the session's checkpoint folder and read again; one of our own is set only where there is none, as in tests.
+
+    A table read again has the sizes that it has, and none of the constraints
+    that a checkpoint inherits from the plan before it: over the rounds of an
+    iteration, these make planning slower and slower.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vicinal-"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
