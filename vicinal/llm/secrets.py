@@ -22,10 +22,16 @@ KINDS = ("assign", "access", "hex", "novel")
 
 #: Words near which a string that does not compress is taken for a secret.
 SENSITIVE = ("password", "passwd", "pwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "auth", "bearer", "credential", "private", "signature", "access_key", "access-key", "client_id", "session", "cookie")
-#: A candidate: a long run of the characters of keys, with a digit and a letter in it.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
-#: Text before a candidate in which a sensitive word must stand, and text around it that primes the compressor.
-NEAR, AROUND = 48, 256
+#: A candidate: a run of LONG characters of keys or more, whole, with a digit and a letter in it.
+LONG = 16
+START = re.compile(r"[A-Za-z0-9+/_=-]{16}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: What joins a run to the next: a dot, or a line break (also a spelled one) if the next run has a line of its own.
+JOINED = re.compile(r"""(?:\.|["']?[ \t]*[+\\]?[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>#*|]*["']?(?=[A-Za-z0-9+/_=-]+["']?[ \t]*[+,;)\\]?[ \t]*(?:[\r\n]|\\[rn]|\Z)))([A-Za-z0-9+/_=-]+)""")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+PEM_FIELDS = re.compile(r"(?:(?:\s|\\[rn])*[A-Za-z][A-Za-z-]*:[^\n\\]*)*")
+#: Text before a candidate in which a sensitive word must stand, text around it that primes the compressor, and text that is scored at once.
+NEAR, AROUND, PIECE = 48, 256, 512
 
 #: What identifiers and settings usually consist of: the compressor's dictionary.
 DICTIONARY_WORDS = """
@@ -79,26 +85,100 @@ def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def outside(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of [a, b) that no base span touches."""
+    out = []
+    for s, _, e in base:
+        if a < e and s < b:
+            if a < s:
+                out.append((a, s))
+            a = e
+    return [*out, (a, b)] if a < b else out
+
+
 def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float) -> list[tuple[int, int, int]]:
-    """Candidates in a sensitive context that hardly compress and that no base span touches."""
+    """Candidates in a sensitive context that hardly compress, without what base spans touch.
+
+    A candidate is a whole run, however long.  It is scored in pieces of PIECE
+    characters at most, and one piece that hardly compresses takes the run.
+    The context carries on over runs that are joined: from the first novel run
+    of them to the last is one span, and a short rest that looks like a key's
+    end belongs to it.  The body of a private key's block is one candidate.
+    """
     places = [m.end() for w in SENSITIVE if w in low for m in re.finditer(re.escape(w), low)]
     if not places or len(low) != len(text):  # lower case of a few letters is longer
         places = [m.end() for m in re.finditer("|".join(map(re.escape, SENSITIVE)), text, re.I | re.A)] if places else []
-    out, seen = [], set()
-    for place in sorted(places):
-        for m in CANDIDATE.finditer(text, place, min(len(text), place + NEAR + 512)):
-            a, b = m.span()
-            if a - place > NEAR:
-                break
-            if a in seen or any(a < e and s < b for s, _, e in base):
-                continue
-            seen.add(a)
-            word = m[0]
-            if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-                continue
-            if novelty.share(text[max(0, a - AROUND) : a], word, text[b : b + AROUND]) >= least:
+    out: list[tuple[int, int, int]] = []
+    ends: dict[int, bool] = {}  # by the end of a run scored before, whether it was taken
+
+    def mixed(word: str) -> bool:
+        return any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+
+    def novel(a: int, b: int, first: bool = False) -> bool:
+        n = -(-(b - a) // PIECE)
+        cuts = [a + (b - a) * k // n for k in range(n + 1)]
+        for s, e in [(a, min(b, a + PIECE))] if first else zip(cuts, cuts[1:], strict=False):
+            if novelty.share(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND]) >= least:
+                return True
+        return False
+
+    def chain(a: int, b: int) -> None:
+        """Take the novel runs among those joined from [a, b) on."""
+        if b in ends:  # from within a run scored before
+            if not ends[b] and mixed(text[a : min(b, a + PIECE)]) and outside(a, b, base) == [(a, b)] and novel(a, b, True):
+                ends[b] = True
                 out.append((a, 3, b))
-    return out
+            return
+        m = RUN.match(text, a)
+        begin = end = None  # of the span under way
+        while m is not None:
+            a, b = m.span(m.lastindex or 0)
+            parts = outside(a, b, base)
+            touched = parts != [(a, b)]
+            if touched and begin is not None:
+                out.append((begin, 3, end))
+                begin = None
+            ends[b] = False
+            for s, e in parts:
+                word = text[s:e]
+                if e - s >= LONG:
+                    taken = (begin is not None or mixed(word)) and novel(s, e)
+                else:  # the rest of a key that was cut into lines or by dots
+                    last = JOINED.match(text, end) if begin is not None and not touched else None
+                    taken = last is not None and last.start(1) == s and (mixed(word) or word.endswith("=") or "PRIVATE KEY" in text[max(0, begin - AROUND) : begin])
+                if taken:
+                    ends[b] = True
+                    if touched:
+                        out.append((s, 3, e))
+                    else:
+                        begin, end = s if begin is None else begin, e
+            m = JOINED.match(text, b)
+        if begin is not None:
+            out.append((begin, 3, end))
+
+    blocks = []
+    for m in PEM.finditer(text) if places else ():
+        a = PEM_FIELDS.match(text, m.end()).end()
+        b = text.find("-----", a)
+        if b >= 0 and text.startswith("-----END", b):
+            body = text[a:b]
+            a, b = a + len(body) - len(body.lstrip()), a + len(body.rstrip())
+            if b - a >= LONG and novel(a, b):
+                out += [(s, 3, e) for s, e in outside(a, b, base)]
+                blocks.append((a, 3, b))
+                continue
+        places.append(a)
+    begin = upto = 0  # the last run, whose end is looked for once
+    for place in sorted(places):
+        at, stop = place, min(len(text), place + NEAR + LONG)
+        while at < stop and (m := START.search(text, at, stop)):
+            a = m.start()
+            if not begin <= a < upto:
+                begin, upto = a, RUN.match(text, a).end()
+            at = upto
+            if not any(s < at and a < e for s, _, e in blocks):
+                chain(a, at)
+    return sorted(out)
 
 
 def spelled(spans: list[tuple[int, int, int]]) -> str:
@@ -120,8 +200,10 @@ def scan(text: str | None, novelty: Novelty, least: float = 0.55) -> tuple[list[
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.55) -> DataFrame:
     """doc_id, counts of base matches, digest of the base spans, and all spans.
 
-    A candidate near a sensitive word is reported if each of its characters
-    adds ``least`` compressed bytes or more to its surroundings.  Null and
+    A candidate near a sensitive word is reported whole if each character of
+    it, or of a piece of a long one, adds ``least`` compressed bytes or more to
+    its surroundings; the parts of a key joined by dots, lines or a block of a
+    private key share the word.  Null and
     empty texts have no spans (the digest is that of nothing); repeated rows
     are scanned one by one; other columns are left out.  Rows are independent:
     nothing is shuffled.
