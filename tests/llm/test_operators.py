@@ -139,6 +139,23 @@ def test_secrets_are_taken_whole():
     assert re.sub(r"\[[A-Z]+\]", "", secrets.redact(text, base + more)) in ("Bearer  end", "Bearer + end", "Bearer ++ end")
 
 
+def test_html_open_elements_end_with_their_block():
+    kept = {
+        '<article><p>a</p><svg class="i"/><p>b</p></article>': "a\nb",
+        '<article><p>a</p><svg><path/><p>b</p><svg></svg></article>': "a\nb",
+        "<article><svg><title/><style/></svg><p>a</p></article>": "a",
+        "<article><p>a <button>x</p><p>b</p></article>": "a\nb",
+        "<article><p>a <button><div>x</div></button> b</p></article>": "a b",
+        "<body><div><video src=x></div><article><p>a</p></article>": "a",
+        "<body><button>x<article><p>a</p></article>": "a",
+        "<article><p>a<select><option>x<option>y</p><p>b</p></article>": "a\nb",
+        "<article><object><object>x</object>y</object><p>b</p></article>": "b",
+        "<article><p>a</p><svg><foreignObject><div>x</div></foreignObject></svg><p>b</p></article>": "a\nb",
+        "<article><p>a</p><script>x<p>b</p></article>": "a",
+    }
+    assert {page: html_text.main_text(page) for page in kept} == kept
+
+
 def test_html():
     page = "<html><script>var a='</p>';</script><body><nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p><b>one<br>two <i>three</i></article><div class='comments'><p>bad words here</div><footer>&copy; x</footer>"
     assert html_text.main_text(page) == "T & U\none two three"

@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 from vicinal.llm.common import lean
 
 # How HTML elements and usual class names divide a page.
-RAW = "script style noscript template svg math iframe object select option textarea button title canvas audio video map datalist".split()
+RAW = "script style noscript iframe textarea title".split()
+#: Elements whose text is no main text; without a closing tag they end with their parent block.
+HIDDEN = "template svg math object select option button canvas audio video map datalist".split()
+FOREIGN = "svg math".split()
+#: Parts of foreign elements that hold HTML, and tags that end foreign elements elsewhere.
+INTEGRATION = "foreignobject desc annotation-xml".split()
+BREAKOUT = """b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre
+ruby s small span strong strike sub sup table tt u ul var""".split()
 BLOCKS = """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul""".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
@@ -61,9 +68,10 @@ def text_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool]] = []  # open block elements: name, content, boilerplate
     pieces: list[tuple[str, bool]] = []
     links = 0
+    hidden: int | None = None  # where in the stack the first element stands whose text is left out
 
     def flush() -> None:
-        if pieces:
+        if pieces and hidden is None:
             text = SPACE.sub(" ", "".join(t for t, _ in pieces)).strip()
             if text:
                 linked = sum(len(t.split()) for t, a in pieces if a)
@@ -71,45 +79,83 @@ def text_blocks(page: str) -> list[Block]:
                 out.append(Block(text, len(text.split()), linked, content, boiler))
             pieces.clear()
 
+    def add(text: str) -> None:
+        if hidden is None:
+            pieces.append((text, links > 0))
+
+    def foreign() -> bool:
+        return next((s[0] in FOREIGN for s in reversed(stack) if s[0] in FOREIGN or s[0] in INTEGRATION), False)
+
+    def drop(k: int) -> None:
+        """Close the open elements from the k-th on."""
+        nonlocal hidden
+        del stack[k:]
+        if hidden is not None and k <= hidden:
+            hidden = None
+
     at, end = 0, len(page)
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
             lt = end
         if lt > at:
-            pieces.append((html.unescape(page[at:lt]), links > 0))
+            add(html.unescape(page[at:lt]))
         if lt == end:
             break
         m = TAG.match(page, lt)
         if m is None:  # no tag: the character itself
-            pieces.append(("<", links > 0))
+            add("<")
             at = lt + 1
             continue
         at = m.end()
         if m["cdata"] is not None:
-            pieces.append((m["cdata"], links > 0))
+            add(m["cdata"])
         name = (m["name"] or "").lower()
         if not name:
             continue
+        closed = (m["attrs"] or "").endswith("/")
+        if hidden is not None:
+            if (name in BREAKOUT and not m["close"]) or (name == "p" and foreign()):
+                while foreign():
+                    drop(max(k for k, s in enumerate(stack) if s[0] in FOREIGN))
+            if name in CONTENT and not m["close"] and stack[hidden][0] in ("button", "map"):
+                drop(hidden)  # browsers show what stands in them
         if name in RAW_END and not m["close"]:
+            if closed and hidden is not None and foreign():
+                continue
             close = RAW_END[name].search(page, at)
             if close is None:
-                if name not in ("option",):
-                    at = end
+                at = end
             else:
                 after = page.find(">", close.start())
                 at = end if after < 0 else after + 1
-            if name not in ("button", "svg", "math"):
-                flush()
+            flush()
+        elif name in HIDDEN or (hidden is not None and name in INTEGRATION):
+            if m["close"]:
+                k = max((k for k, s in enumerate(stack) if s[0] == name), default=-1)
+                if k >= 0:
+                    drop(k)
+                continue
+            if name in ("button", "option") and stack and stack[-1][0] == name:
+                drop(len(stack) - 1)
+            if name in ("button", "svg", "math"):
+                add(" ")
             else:
-                pieces.append((" ", False))
+                flush()
+            if not (closed and (name in FOREIGN or (hidden is not None and foreign()))):
+                _, content, boiler = stack[-1] if stack else ("", False, False)
+                hidden = len(stack) if hidden is None else hidden
+                stack.append((name, content, boiler))
+        elif hidden is not None and name not in BLOCKS:
+            continue
         elif name == "a":
             links = 0 if m["close"] else 1
         elif name == "br":
             pieces.append((" ", False))
         elif name in BLOCKS:
-            flush()
-            links = 0
+            if hidden is None:
+                flush()
+                links = 0
             if name in VOID:
                 continue
             if not m["close"]:
@@ -122,12 +168,16 @@ def text_blocks(page: str) -> list[Block]:
                     content = True
                 elif (name in BOILERPLATE and not (name == "header" and content)) or (name not in ("html", "body") and _named_boilerplate(m["attrs"])):
                     boiler = True
-                if not m["attrs"].endswith("/"):
+                if not closed:
                     stack.append((name, content, boiler))
             else:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        del stack[k:]
+                        if hidden is not None and k < hidden:  # ends with its parent block
+                            hidden = None
+                            flush()
+                            links = 0
+                        drop(k)
                         break
     flush()
     return out
