@@ -50,6 +50,18 @@ def test_jaccard_equals_brute_force(spark, docs, rows):
     assert got == {k: (len(sets[k]), comp[k]) for k in sets}
 
 
+def test_near_duplicates_keep_clean_documents_without_unique_ids(spark):
+    a, b, c, d, e = (prose(80, 20 + k) for k in range(5))
+    data = [(None, a), (None, b), (None, a), (1, c), (1, d), (1, c), (2, c), (7, e), (None, e + " tail"), (None, None), (None, ""), (3, None), (4, " ")]
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    out = jaccard.near_duplicate_stage(spark, frame, "")
+    assert out.columns == frame.columns
+    want = [(None, a), (None, b), (1, c), (1, d), (7, e), (None, None), (None, ""), (3, None), (4, " ")]
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(want)
+    unique = frame.where("doc_id in (2, 3, 4, 7)").unionByName(frame.where("doc_id = 7").selectExpr("8L AS doc_id", "text", "lang", "source", "n_chars"))
+    assert sorted(r["doc_id"] for r in jaccard.near_duplicate_stage(spark, unique, "").collect()) == [2, 3, 4, 7]
+
+
 def test_components_by_joins_equal_those_of_one_task(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (5, 6), (7, 6)], "a long, b long")
     one, many = (sorted(map(tuple, jaccard.connected_components(edges, at).collect())) for at in (100, 0))

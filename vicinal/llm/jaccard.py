@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -431,9 +432,41 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     return rows.select("doc_id", "n", "digest").dropDuplicates(["doc_id"]).join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with a column _key, a digest of id and text; rows with equal keys have equal ids and texts.
+
+    Keys are compared with a second digest, and made anew from another seed
+    where two unlike rows have the same.
+    """
+    values = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col)]
+    for seed in itertools.count():
+        keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), *values))
+        other = F.xxhash64(*values[::-1], F.lit(seed))
+        if keyed.groupBy("_key").agg(F.min(other).alias("low"), F.max(other).alias("high")).where("low <> high").isEmpty():
+            return keyed
+
+
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that bear the smallest id of their component: one of each group."""
+    """One document of each component: the one with the smallest id.
+
+    Ids need be neither unique nor given: rows that share an id, or have none,
+    are compared by their texts like any others, and only copies and near
+    copies go.  Of a component, rows with an id stay rather than rows without;
+    rows with the same id and text are one row.  Documents without words have
+    no near copies: they stay, also all of those without an id.
+    """
     # Near-duplicate stages take five words and a similarity of 0.8.
-    found = jaccard_components(spark, docs, ngram=5, similarity=80)
-    gone = checkpointed(found.where("doc_id <> component_id").select("doc_id"))
-    return docs.dropDuplicates(["doc_id"]).join(small_side(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        found = jaccard_components(spark, docs, ngram=5, similarity=80)
+        gone = checkpointed(found.where("doc_id <> component_id").select("doc_id"))
+        return docs.join(small_side(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    keyed = row_keys(docs)
+    alone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\r\x0B\f]")
+    rows = keyed.where(~alone)
+    found = jaccard_components(spark, rows, "_key", "text", ngram=5, similarity=80).select(F.col("doc_id").alias("_key"), "component_id")
+    first = rows.groupBy("_key").agg(F.first(F.col("doc_id").cast("long")).alias("id"))
+    kept = found.join(first, "_key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key")).alias("first")).select("first._key")
+    gone = checkpointed(found.join(kept, "_key", "left_anti").select("_key"))
+    stay = rows.join(small_side(gone, 1_000_000), "_key", "left_anti").dropDuplicates(["_key"])
+    return stay.unionByName(keyed.where(alone)).select(*docs.columns)
