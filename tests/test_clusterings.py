@@ -1,4 +1,5 @@
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -121,6 +122,27 @@ def test_clique_links_neighbouring_cells(spark):
     assert got["0:3,1:0"] == "0:0,1:0" and got["0:9,1:9"] == "0:4,1:9" and got["1:0"] == "1:0" and got["1:9"] == "1:9"
 
 
+def test_itemsets_of_all_sizes(spark):
+    draw = np.random.default_rng(8)
+    baskets = [set("abcde"[: 3 + k % 3]) | set(draw.choice(list("fghij"), 3)) for k in range(30)]
+    frame = spark.createDataFrame([(k, i) for k, b in enumerate(baskets) for i in b for _ in range(2)], "basket long, item string")
+    want = {}
+    for n in range(1, 11):
+        for c in combinations("abcdefghij", n):
+            support = sum(set(c) <= b for b in baskets)
+            if support >= 5:
+                want[",".join(c)] = support
+    assert max(map(len, want)) >= 9  # five items
+    assert {r["items"]: r["support"] for r in statistics.apriori(frame, 5).collect()} == want
+    assert {r["items"] for r in statistics.apriori(frame, 5, 2).collect()} == {w for w in want if len(w) <= 3}
+
+
+def test_dense_units_of_all_subspaces(spark):
+    rows = [(i, [float(i % 2)] * 4) for i in range(20)]
+    got = {r["unit"]: r["support"] for r in subspaces.dense_units(spark.createDataFrame(rows, "id long, v array<double>"), 2, 0.5).collect()}
+    assert len(got) == 2 * 15 and got["0:1,1:1,2:1,3:1"] == 10
+
+
 def test_eigenpair_filters():
     values = np.array([8.0, 4.0, 0.5, 0.4, 0.1])
     count = lambda kind, x: int(statistics.eigenpair_filter(values, kind, x).sum())

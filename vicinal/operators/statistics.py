@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vicinal.functions.vectors import erf
 from vicinal.operators.knn import KERNELS, block_join
+from vicinal.plans.lineage import cut
 
 
 def components_of(points: DataFrame) -> DataFrame:
@@ -262,21 +263,28 @@ def top_k_scaling(scores: DataFrame, k: int) -> DataFrame:
     return scores.join(F.broadcast(bar)).select("id", F.when(F.col("score") >= F.col("bar"), 1.0).otherwise(0.0).alias("score"))
 
 
-def apriori(baskets: DataFrame, min_support: int, max_size: int = 3) -> DataFrame:
-    """items (sorted, joined by a comma) and support of frequent itemsets, level by level, from rows (basket, item)."""
+def apriori(baskets: DataFrame, min_support: int, max_size: int | None = None) -> DataFrame:
+    """items (sorted, joined by a comma) and support of frequent itemsets, level by level, from rows (basket, item).
+
+    It ends when a level is empty, or at ``max_size`` if that is given.  Each
+    level joins, within a basket, the frequent sets of the level before that
+    differ in their last item only.
+    """
     rows = baskets.select("basket", F.col("item").cast("string").alias("item")).distinct()
     single = rows.groupBy("item").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
-    rows = rows.join(single.select("item"), "item", "left_semi")
-    sets = rows.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("items"))
     out = single.select(F.col("item").alias("items"), "support")
-    for size in range(2, max_size + 1):
-        found = sets.where(F.size("items") >= size)
-        # Combinations grow item by item, in order, inside the row.
-        combos = F.transform("items", lambda x: F.array(x))
-        for _ in range(size - 1):
-            combos = F.flatten(F.transform(combos, lambda c: F.transform(F.filter("items", lambda x: x > F.element_at(c, -1)), lambda x: F.concat(c, F.array(x)))))
-        level = found.select(F.explode(combos).alias("c")).groupBy(F.concat_ws(",", "c").alias("items")).agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
-        out = out.unionByName(level)
+    rows = cut(rows.join(single.select("item"), "item", "left_semi").select("basket", F.array().cast("array<string>").alias("begin"), F.col("item").alias("last")))
+    size = 1
+    while max_size is None or size < max_size:
+        size += 1
+        near = rows.groupBy("basket", "begin").agg(F.sort_array(F.collect_list("last")).alias("lasts")).where(F.size("lasts") > 1)
+        near = near.select("basket", "begin", "lasts", F.posexplode("lasts").alias("at", "item"))
+        grown = near.select("basket", F.concat("begin", F.array("item")).alias("begin"), F.explode(F.slice("lasts", F.col("at") + 2, F.size("lasts"))).alias("last"))
+        level = cut(grown.groupBy("begin", "last").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level.select(F.concat_ws(",", "begin", "last").alias("items"), "support"))
+        rows = cut(grown.join(level, ["begin", "last"], "left_semi"))
     return out
 
 

@@ -109,10 +109,11 @@ def four_c(points: DataFrame, radius: float, min_points: int, delta: float, most
     return density_clusters(points, cut(kept), min_points, pca.where(strong <= most_dims))
 
 
-def dense_units(points: DataFrame, cells: int, share: float, max_dims: int = 2) -> DataFrame:
+def dense_units(points: DataFrame, cells: int, share: float, max_dims: int | None = None) -> DataFrame:
     """unit (``dim:cell`` joined by commas) and support: cells of subspaces, level by level, with at least a ``share`` of all points.
 
     Each attribute's range, its end widened by 0.0001, is cut into ``cells``.
+    Subspaces have up to ``max_dims`` attributes, or any number.
     """
     r = attribute_ranges(points)
     at = F.floor((F.col("x") - F.col("low")) / ((F.col("high") + 0.0001 - F.col("low")) / cells))
@@ -121,7 +122,7 @@ def dense_units(points: DataFrame, cells: int, share: float, max_dims: int = 2)
     return apriori(items, max(1, least), max_dims).withColumnRenamed("items", "unit")
 
 
-def clique(points: DataFrame, cells: int, share: float, max_dims: int = 2) -> DataFrame:
+def clique(points: DataFrame, cells: int, share: float, max_dims: int | None = None) -> DataFrame:
     """unit, support and cluster, the least unit of those of the same subspace linked by neighbouring cells."""
     units = cut(dense_units(points, cells, share, max_dims))
     parts = units.select("unit", F.posexplode(F.split("unit", ",")).alias("pos", "part"), F.split("unit", ",").alias("all"))
