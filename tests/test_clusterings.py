@@ -122,6 +122,33 @@ def test_clique_links_neighbouring_cells(spark):
     assert got["0:3,1:0"] == "0:0,1:0" and got["0:9,1:9"] == "0:4,1:9" and got["1:0"] == "1:0" and got["1:9"] == "1:9"
 
 
+def test_kmeans_and_em_go_on_until_nothing_changes(spark):
+    x = np.arange(300.0) ** 1.3
+    points = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate(x)], "id long, v array<double>").coalesce(1).cache()
+    means, old, rounds = x[:5], None, 0
+    while True:
+        new = ((x[:, None] - means) ** 2).argmin(axis=1)
+        if old is not None and (new == old).all():
+            break
+        old, means, rounds = new, np.array([x[new == c].mean() for c in range(5)]), rounds + 1
+    assert rounds > 20
+    assert assigned(clustering.kmeans(points, 5, start=[[float(v)] for v in x[:5]])) == old.tolist()
+    draw = np.random.default_rng(1)
+    x = np.concatenate([draw.normal(0, 1, 100), draw.normal(2.5, 1, 100)])
+    points = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate(x)], "id long, v array<double>").coalesce(1).cache()
+    w, m, s, before, rounds = np.full(2, 0.5), np.array([[-1.0], [4.0]]), np.ones((2, 1, 1)), None, 0
+    while True:
+        p, log = mixtures.posteriors(x[:, None], w, m, s)
+        if before is not None and abs(log - before) <= 1e-12 * abs(before):
+            break
+        before, rounds = log, rounds + 1
+        w, m = p.mean(axis=0), (p.T @ x / p.sum(axis=0))[:, None]
+        s = np.array([[[(p[:, c] * (x - m[c]) ** 2).sum() / p[:, c].sum() + 1e-9]] for c in range(2)])
+    assert rounds > 50
+    for a, b in zip(mixtures.fit_mixture(points, 2, start=[[-1.0], [4.0]]), (w, m, s), strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-3)
+
+
 def test_itemsets_of_all_sizes(spark):
     draw = np.random.default_rng(8)
     baskets = [set("abcde"[: 3 + k % 3]) | set(draw.choice(list("fghij"), 3)) for k in range(30)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.vectors import squared_euclidean
@@ -33,11 +33,12 @@ def all_noise(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.lit(True).alias("noise"))
 
 
-def kmeans(points: DataFrame, k: int, max_iter: int = 20, seed: int = 1, start: list[list[float]] | None = None) -> DataFrame:
+def kmeans(points: DataFrame, k: int, max_iter: int = 0, seed: int = 1, start: list[list[float]] | None = None) -> DataFrame:
     """id and cluster by Lloyd's iteration from means drawn in the bounding box, or from ``start``.
 
     Ties go to the lower number, a cluster without points keeps its mean, and
-    it ends when no mean moves.  Means, ``k`` rows, are what the driver holds.
+    it ends when no point changes its cluster, or after ``max_iter`` rounds if
+    that is not 0.  Means, ``k`` rows, are what the driver holds.
     """
     dim = points.select(F.size("v")).first()[0]
     v = [F.col("v")[i].cast("double") for i in range(dim)]
@@ -46,17 +47,20 @@ def kmeans(points: DataFrame, k: int, max_iter: int = 20, seed: int = 1, start:
         start = np.random.default_rng(seed).uniform(box[:dim], box[dim:], (k, dim)).tolist()
     means = [list(map(float, m)) for m in start]
 
-    def assigned() -> DataFrame:
-        to = F.array(*[F.struct(squared_euclidean(F.col("v"), F.array(*map(F.lit, m))).alias("d"), F.lit(i).alias("c")) for i, m in enumerate(means)])
-        return points.withColumn("cluster", F.array_min(to)["c"])
+    def nearest(to: list[list[float]]) -> Column:
+        return F.array_min(F.array(*[F.struct(squared_euclidean(F.col("v"), F.array(*map(F.lit, m))).alias("d"), F.lit(i).alias("c")) for i, m in enumerate(to)]))["c"]
 
-    for _ in range(max_iter):
-        rows = {r[0]: list(r[1:]) for r in assigned().groupBy("cluster").agg(*[F.avg(c) for c in v]).collect()}
-        new = [rows.get(i, means[i]) for i in range(k)]
-        if new == means:
+    before, rounds = None, 0
+    while not max_iter or rounds < max_iter:
+        # Means are added up in any order: that no point moves is exact, that no mean does is not.
+        moved = F.lit(1) if before is None else (nearest(before) != F.col("cluster")).cast("int")
+        rows = points.withColumn("cluster", nearest(means)).groupBy("cluster").agg(F.sum(moved), *[F.avg(c) for c in v]).collect()
+        if not any(r[1] for r in rows):
             break
-        means = new
-    return assigned().select("id", "cluster")
+        new = {r[0]: list(r[2:]) for r in rows}
+        before, means = means, [new.get(i, means[i]) for i in range(k)]
+        rounds += 1
+    return points.select("id", nearest(means).alias("cluster"))
 
 
 def components(edges: DataFrame) -> DataFrame:

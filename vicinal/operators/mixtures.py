@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: What is added to a covariance's diagonal where it cannot be inverted.
 RIDGE = 1e-9
+#: Changes of the log density, as a share of it, that the order of adding up may cause.
+ROUNDING = 1e-12
 
 
 def posteriors(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> tuple[np.ndarray, float]:
@@ -28,12 +31,12 @@ def posteriors(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.n
     return np.exp(logs - total[:, None]), float(total.sum())
 
 
-def fit_mixture(points: DataFrame, k: int, max_iter: int = 50, delta: float = 0.0, seed: int = 1, start: list[list[float]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_mixture(points: DataFrame, k: int, max_iter: int = 0, delta: float = 0.0, seed: int = 1, start: list[list[float]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, means and covariances by expectation and maximisation, from identity covariances and equal weights.
 
     Means are drawn in the bounding box unless ``start`` gives them.  It ends
-    when the mean log density changes by at most ``delta``.  Tasks sum their
-    moments, of a size that depends on ``k`` and the dimension alone; a shuffle
+    when the mean log density changes by at most ``delta`` beyond rounding, or
+    after ``max_iter`` rounds if that is not 0.  Tasks sum their moments, of a size that depends on ``k`` and the dimension alone; a shuffle
     adds them, and one number for each moment comes to the driver.
     """
     points = points.select(F.col("v").cast("array<double>").alias("v"))
@@ -44,7 +47,7 @@ def fit_mixture(points: DataFrame, k: int, max_iter: int = 50, delta: float = 0.
         start = np.random.default_rng(seed).uniform(box[:dim], box[dim:], (k, dim)).tolist()
     weights, means, covs, before = np.full(k, 1 / k), np.array(start, float), np.array([np.eye(dim)] * k), None
     size = 1 + dim + dim * dim
-    for _ in range(max_iter):
+    for _ in range(max_iter) if max_iter else itertools.count():
         now = (weights, means, covs)
 
         def moments(batches: Iterator[pd.DataFrame], now: tuple = now) -> Iterator[pd.DataFrame]:
@@ -63,7 +66,7 @@ def fit_mixture(points: DataFrame, k: int, max_iter: int = 50, delta: float = 0.
         for at, x in points.mapInPandas(moments, "at int, x double").groupBy("at").agg(F.sum("x")).collect():
             sums[at] = x
         n, log = sums[-1], sums[-2]
-        if n == 0 or (before is not None and abs(log / n - before) <= delta):
+        if n == 0 or (before is not None and abs(log / n - before) <= max(delta, ROUNDING * abs(before))):
             break
         before = log / n
         weights, means, covs = weights.copy(), means.copy(), covs.copy()
@@ -77,7 +80,7 @@ def fit_mixture(points: DataFrame, k: int, max_iter: int = 50, delta: float = 0.
     return weights, means, covs
 
 
-def em(points: DataFrame, k: int, max_iter: int = 50, delta: float = 0.0, seed: int = 1, start: list[list[float]] | None = None) -> DataFrame:
+def em(points: DataFrame, k: int, max_iter: int = 0, delta: float = 0.0, seed: int = 1, start: list[list[float]] | None = None) -> DataFrame:
     """id, cluster (the likeliest component, ties to the lower number) and p, its probability."""
     model = fit_mixture(points, k, max_iter, delta, seed, start)
 

@@ -176,6 +176,7 @@ def queries() -> dict[str, Query]:
         "cluster_by_label": lambda s, d: C.by_label(embeddings(s, d), "id", "label"),
         "label_hierarchy": lambda s, d: C.by_label_hierarchy(_table(s, d, "documents"), "source"),
         "kmeans": lambda s, d: C.kmeans(parts(s, d), 3, 1, start=[[10.0, 950.0], [25.0, 1300.0], [40.0, 1700.0]]),
+        "kmeans_converged": lambda s, d: C.kmeans(parts(s, d), 3, start=[[10.0, 950.0], [25.0, 1300.0], [40.0, 1700.0]]),  # the SQL of kmeans stops after one round
         "dbscan": dbscan_query,
         "single_link": lambda s, d: C.single_link(embeddings(s, d), 0.8),
         "snn_similarity": lambda s, d: C.snn_similarity(embeddings(s, d), 10),
@@ -192,8 +193,8 @@ def queries() -> dict[str, Query]:
         "local_pca": lambda s, d: rounded(U.local_pca(plane(s, d), K.knn_join(plane(s, d), plane(s, d), 8)).select("id", F.col("eigenvalues")[0].alias("first"), F.col("eigenvalues")[1].alias("second")), "first", "second"),
         "dense_units": lambda s, d: U.dense_units(parts(s, d), 10, 0.012),
         "clique": lambda s, d: U.clique(parts(s, d), 10, 0.012),
-        "em": lambda s, d: rounded(M.em(plane(s, d), 3, 10, start=[[10.0, 40.0], [25.0, 55.0], [40.0, 70.0]]), "p"),
-        "em_outlier": lambda s, d: rounded(M.em_outlier(plane(s, d), 3, max_iter=10, start=[[10.0, 40.0], [25.0, 55.0], [40.0, 70.0]]), "score"),
+        "em": lambda s, d: rounded(M.em(plane(s, d), 3, start=[[10.0, 40.0], [25.0, 55.0], [40.0, 70.0]]), "p"),
+        "em_outlier": lambda s, d: rounded(M.em_outlier(plane(s, d), 3, start=[[10.0, 40.0], [25.0, 55.0], [40.0, 70.0]]), "score"),
         "gamma_scaling": lambda s, d: rounded(S.gamma_scaling(part_price(s, d)), "score"),
         "distance_statistics": lambda s, d: rounded(S.distance_statistics(embeddings(s, d), "label", 20, 2.0), "low", "high", "total"),
         "outlier_histogram": lambda s, d: S.outlier_histogram(toxic(s, d), 20, 0.0, 4000.0),
