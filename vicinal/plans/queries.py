@@ -50,6 +50,10 @@ def _join(metric: str) -> Query:
     return lambda spark, d: rounded(K.knn_join(queries_of(spark, d), embeddings(spark, d), 5, metric).select("q", "s", "rank", "d"), "d")
 
 
+def _whole_join(metric: str) -> Query:
+    return lambda spark, d: rounded(K.knn_join(embeddings(spark, d), embeddings(spark, d), 5, metric).select("q", "s", "rank", "d"), "d")
+
+
 def _metric(name: str, f: V.Metric) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         e = embeddings(spark, d)
@@ -115,10 +119,10 @@ def dbscan_query(spark: SparkSession, d: str) -> DataFrame:
     return C.dbscan(plane(spark, d), 1.0, 4)
 
 
-def zorder_recall(spark: SparkSession, d: str) -> DataFrame:
-    """The share of the exact neighbours that the join along z-curves finds in the plane of size and price."""
+def zorder_recall(spark: SparkSession, d: str, every: int = 10) -> DataFrame:
+    """The share of the exact neighbours that the join along z-curves finds in the plane of size and price, for ids divisible by ``every``."""
     p = parts(spark, d)
-    q = p.where(F.col("id") % 10 == 0)
+    q = p if every == 1 else p.where(F.col("id") % every == 0)
     exact = K.knn_join(q, p, 5).select("q", "s")
     near = K.zorder_knn_join(q, p, 5, shifts=4).select("q", "s")
     return exact.join(near.withColumn("hit", F.lit(1)), ["q", "s"], "left").agg(F.round(F.count("hit") / F.count(F.lit(1)), 3).alias("recall"))
@@ -138,6 +142,11 @@ def queries() -> dict[str, Query]:
     return {
         "knn_self_join": flagship,
         **{f"knn_join_{m}": _join(m) for m in ("euclidean", "squared_euclidean", "manhattan", "maximum", "cosine")},
+        # Whole tables; the queries that their SQL holds to a part of the ids stay beside them.
+        **{f"knn_join_{m}_all": _whole_join(m) for m in ("squared_euclidean", "manhattan", "maximum", "cosine")},
+        "knn_join_ties_all": lambda s, d: rounded(K.knn_join(parts(s, d), parts(s, d), 5, "maximum", ties=True).select("q", "s", "d"), "d"),
+        "reverse_knn_all": lambda s, d: rounded(K.reverse_knn(embeddings(s, d), embeddings(s, d).select("id"), 5).select("q", "s", "d"), "d"),
+        "zorder_recall_all": lambda s, d: zorder_recall(s, d, 1),
         "knn_join_ties": lambda s, d: rounded(K.knn_join(parts(s, d).where("id % 20 = 0"), parts(s, d), 5, "maximum", ties=True).select("q", "s", "d"), "d"),
         "knn_query": lambda s, d: rounded(K.knn_query(embeddings(s, d), [0.0] * 64, 10).select("s", "d"), "d"),
         "range_join": lambda s, d: rounded(K.range_join(embeddings(s, d), embeddings(s, d), 1.1).select("q", "s", "d"), "d"),
