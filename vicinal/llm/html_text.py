@@ -1,4 +1,10 @@
-"""Main text of web pages: flat text blocks classified by a decision tree on shallow features of a block and its neighbours."""
+"""Main text of web pages: flat text blocks classified by a decision tree on shallow features of a block and its neighbours.
+
+Word counts and link densities decide first.  What elements and class names
+say is one more feature, a cue of four strengths: it is needed for prose that
+is no main text, such as a reader's comment or an advert of two sentences,
+which no density tells from a paragraph.
+"""
 
 from __future__ import annotations
 
@@ -28,16 +34,22 @@ BLOCKS = """address article aside blockquote body caption center dd details dial
 h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul""".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 CONTENT = "article main".split()
-BOILERPLATE = "nav footer aside header form menu dialog search".split()
+BOILERPLATE = "nav footer aside header menu dialog search".split()
 BOILERPLATE_ROLES = "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split()
-BOILERPLATE_NAMES = """ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus
+BOILERPLATE_NAMES = """ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus
 footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo promoted
 recommended related remark remarks replies reply share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget""".split()
+#: What may stand beside such a name without changing its meaning.
+NEUTRAL_NAMES = """area bar block bottom box column container desktop fixed form global group inline inner item items left link links list message
+mobile outer panel policy primary right row secondary section site slot small sticky text thread top unit user wrap wrapper""".split()
+#: How strongly the elements around a block speak against it: a name among others, a form, an element, role or name of boilerplate.
+WEAK, FORM, STRONG = 1, 2, 3
 
 TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(?P<close>/)?(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
 SPACE = re.compile(r"\s+")
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 @dataclass
@@ -46,26 +58,33 @@ class Block:
     words: int = 0
     linked: int = 0
     content: bool = False  # inside an article or the main part
-    boilerplate: bool = False  # inside a menu, header, footer, form, advert, remark or the like
+    cue: int = 0  # how strongly the elements around it speak against it
 
 
-def _named_boilerplate(attrs: str) -> bool:
+def _named(attrs: str) -> tuple[int, bool]:
+    """The cue that an element's class, id and role give, and whether its role is that of main content."""
+    cue, main = 0, False
     for m in ATTRIBUTE.finditer(attrs):
-        for name in (m[2] or m[3] or m[4] or "").lower().split():
+        for name in (m[2] or m[3] or m[4] or "").split():
             if m[1].lower() == "role":
-                if name in BOILERPLATE_ROLES:
-                    return True
+                main |= name.lower() in CONTENT
+                cue = max(cue, STRONG if name.lower() in BOILERPLATE_ROLES else 0)
+                continue
+            parts = [x.lower() for x in NAME_PARTS.findall(name)]
+            if not parts or parts[0] in ("has", "with", "no", "without"):
                 continue
-            parts = re.split(r"[-_]+", name)
-            if parts[0] not in ("has", "with", "no", "without") and (parts[0] in BOILERPLATE_NAMES or parts[-1] in BOILERPLATE_NAMES):
-                return True
-    return False
+            known = [x in BOILERPLATE_NAMES for x in parts]
+            if any(known) and all(k or x in NEUTRAL_NAMES or x.isdigit() for k, x in zip(known, parts, strict=True)):
+                cue = STRONG
+            elif known[0] or known[-1]:
+                cue = max(cue, WEAK)
+    return cue, main
 
 
 def text_blocks(page: str) -> list[Block]:
     """The page's text between block tags, in order, white space turned into one blank; blocks without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: name, content, boilerplate
+    stack: list[tuple[str, bool, int]] = []  # open block elements: name, content, cue
     pieces: list[tuple[str, bool]] = []
     links = 0
     hidden: int | None = None  # where in the stack the first element stands whose text is left out
@@ -75,8 +94,8 @@ def text_blocks(page: str) -> list[Block]:
             text = SPACE.sub(" ", "".join(t for t, _ in pieces)).strip()
             if text:
                 linked = sum(len(t.split()) for t, a in pieces if a)
-                _, content, boiler = stack[-1] if stack else ("", False, False)
-                out.append(Block(text, len(text.split()), linked, content, boiler))
+                _, content, cue = stack[-1] if stack else ("", False, 0)
+                out.append(Block(text, len(text.split()), linked, content, cue))
             pieces.clear()
 
     def add(text: str) -> None:
@@ -143,9 +162,9 @@ def text_blocks(page: str) -> list[Block]:
             else:
                 flush()
             if not (closed and (name in FOREIGN or (hidden is not None and foreign()))):
-                _, content, boiler = stack[-1] if stack else ("", False, False)
+                _, content, cue = stack[-1] if stack else ("", False, 0)
                 hidden = len(stack) if hidden is None else hidden
-                stack.append((name, content, boiler))
+                stack.append((name, content, cue))
         elif hidden is not None and name not in BLOCKS:
             continue
         elif name == "a":
@@ -159,17 +178,19 @@ def text_blocks(page: str) -> list[Block]:
             if name in VOID:
                 continue
             if not m["close"]:
-                _, content, boiler = stack[-1] if stack else ("", False, False)
                 if name == "p" and stack and stack[-1][0] == "p":
                     stack.pop()
-                if name in CONTENT:
-                    # A form around a whole page does not make its article boilerplate.
-                    boiler = any(s[2] for s in stack if s[0] != "form") and any(s[2] and (i == 0 or not stack[i - 1][2]) and s[0] != "form" for i, s in enumerate(stack))
-                    content = True
-                elif (name in BOILERPLATE and not (name == "header" and content)) or (name not in ("html", "body") and _named_boilerplate(m["attrs"])):
-                    boiler = True
+                _, content, cue = stack[-1] if stack else ("", False, 0)
+                named, main = _named(m["attrs"]) if name not in ("html", "body") and m["attrs"] else (0, False)
+                if name in CONTENT or main:
+                    # Only what surely is boilerplate around it speaks against an article: forms may hold whole pages.
+                    content, cue = True, STRONG if cue == STRONG else 0
+                elif name in BOILERPLATE and not (name == "header" and content):
+                    cue = STRONG
+                else:
+                    cue = max(cue, named, FORM if name == "form" else 0)
                 if not closed:
-                    stack.append((name, content, boiler))
+                    stack.append((name, content, cue))
             else:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
@@ -183,72 +204,68 @@ def text_blocks(page: str) -> list[Block]:
     return out
 
 
-#: What the tree sees: words and link density of the block and of its neighbours, and where the block stands.
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "content", "boilerplate")
+#: What the tree sees: words and link density of the block and of its neighbours, whether it stands in an article, and the cue against it.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "content", "cue")
 
 
 def block_features(blocks: list[Block]) -> list[tuple[float, ...]]:
     shape = [(0.0, 0.0), *((float(b.words), b.linked / max(1, b.words)) for b in blocks), (0.0, 0.0)]
-    return [(*shape[i + 1], *shape[i], *shape[i + 2], float(b.content), float(b.boilerplate)) for i, b in enumerate(blocks)]
-
-
-# A small labelled table of blocks, in the order of FEATURES; the last value is 1 for main text.
-LABELLED = (
-    # inside an article: headings, long, short and linked paragraphs
-    (8, 0.0, 4, 1.0, 60, 0.0, 1, 0, 1),
-    (12, 0.0, 13, 0.0, 12, 0.0, 1, 0, 1),
-    (60, 0.0, 8, 0.0, 75, 0.02, 1, 0, 1),
-    (75, 0.02, 60, 0.0, 3, 0.0, 1, 0, 1),
-    (3, 0.0, 75, 0.0, 90, 0.0, 1, 0, 1),
-    (2, 0.0, 40, 0.0, 9, 0.1, 1, 0, 1),
-    (1, 0.0, 0, 0.0, 2, 0.0, 1, 0, 1),
-    (25, 0.4, 50, 0.0, 50, 0.0, 1, 0, 1),
-    (6, 1.0, 50, 0.0, 45, 0.0, 1, 0, 1),
-    (140, 0.05, 2, 0.0, 0, 0.0, 1, 0, 1),
-    (5, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
-    (3, 0.0, 3, 0.0, 3, 0.0, 1, 0, 1),
-    (4, 0.0, 3, 0.0, 2, 0.0, 1, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1),
-    (2, 0.0, 1, 1.0, 2, 1.0, 1, 0, 1),
-    (5, 0.8, 3, 1.0, 60, 0.0, 1, 0, 1),
-    (8, 0.7, 60, 0.0, 4, 1.0, 1, 0, 1),
-    (25, 0.8, 6, 1.0, 5, 1.0, 1, 0, 1),
-    (40, 0.9, 70, 0.0, 3, 1.0, 1, 0, 1),
-    (6, 0.0, 4, 1.0, 3, 1.0, 1, 0, 1),
-    (9, 0.0, 5, 0.5, 0, 0.0, 1, 0, 1),
-    (3, 0.0, 60, 0.0, 1, 1.0, 1, 0, 1),
-    # menus, headers, footers, sidebars, notices, adverts, forms and remarks, wherever they stand
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0),
-    (2, 0.5, 1, 1.0, 14, 0.0, 0, 1, 0),
-    (13, 0.0, 1, 1.0, 8, 0.0, 0, 1, 0),
-    (40, 0.0, 13, 0.0, 60, 0.0, 0, 1, 0),
-    (90, 0.0, 60, 0.0, 80, 0.0, 0, 1, 0),
-    (12, 0.1, 75, 0.0, 0, 0.0, 0, 1, 0),
-    (30, 0.0, 80, 0.0, 12, 0.0, 0, 1, 0),
-    (55, 0.0, 70, 0.0, 60, 0.0, 1, 1, 0),
-    (10, 0.0, 70, 0.0, 65, 0.0, 1, 1, 0),
-    (3, 1.0, 70, 0.0, 3, 1.0, 1, 1, 0),
-    # pages without such elements: long blocks with few links, and short ones between them, are main text
-    (60, 0.0, 2, 1.0, 75, 0.0, 0, 0, 1),
-    (75, 0.05, 60, 0.0, 50, 0.0, 0, 0, 1),
-    (30, 0.0, 75, 0.0, 40, 0.0, 0, 0, 1),
-    (18, 0.0, 35, 0.0, 60, 0.0, 0, 0, 1),
-    (22, 0.1, 80, 0.0, 3, 1.0, 0, 0, 1),
-    (9, 0.0, 45, 0.0, 55, 0.0, 0, 0, 1),
-    (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1),
-    (120, 0.2, 5, 0.0, 8, 0.0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0),
-    (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0),
-    (5, 0.8, 3, 1.0, 60, 0.0, 0, 0, 0),
-    (8, 0.7, 60, 0.0, 4, 1.0, 0, 0, 0),
-    (25, 0.8, 6, 1.0, 5, 1.0, 0, 0, 0),
-    (40, 0.9, 70, 0.0, 3, 1.0, 0, 0, 0),
-    (6, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0),
-    (4, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0),
-    (9, 0.0, 5, 0.5, 0, 0.0, 0, 0, 0),
-    (3, 0.0, 60, 0.0, 1, 1.0, 0, 0, 0),
-)
+    return [(*shape[i + 1], *shape[i], *shape[i + 2], float(b.content), float(b.cue)) for i, b in enumerate(blocks)]
+
+
+#: A small labelled table: a line for each part of a page, its blocks in order as words/linked words, then c in an article, w, f or s for
+#: a weak cue, a form or a strong cue, and + for main text or - for what is not.
+LABELLED = """
+1/1s- 1/1s- 2/2s- 10/0s- 8/0c+ 60/0c+ 3/0c+ 25/2c+ 140/4c+ 9/0s-
+1/1s- 3/3s- 2/2s- 1/1c+ 2/0c+ 1/0c+ 6/0s-
+2/2- 1/1- 3/3- 8/0+ 60/0+ 25/2+ 75/0+ 6/6- 2/2- 3/3-
+3/3- 2/2- 1/1- 2/2- 3/3- 9/0+ 40/0+ 55/1+ 80/0+ 15/0+ 2/2- 4/4- 2/2-
+1/1- 1/1- 2/2- 1/1- 30/0+ 45/1+ 1/0+ 20/0+ 2/2- 2/2- 2/2-
+2/0+ 2/0+
+5/0+ 900/0+
+3/0+
+12/1+ 7/0+ 4/0+ 9/3+ 5/0+
+8/0c+ 40/0c+ 6/6c+ 45/0c+ 12/12c+ 50/0c+ 2/2c+ 30/0c+
+8/0+ 40/0+ 6/6+ 45/0+ 12/9+ 50/0+ 2/2+ 50/0+
+7/0c+ 70/0c+ 55/0cs- 10/0cs- 3/3cs- 65/1c+ 90/0cs- 30/0cs- 4/0cs- 2/1cs-
+1/1c- 2/2c- 3/3c- 60/0c+ 2/2c- 1/1c- 2/2c-
+4/0c+ 2/2c- 1/1c- 3/3c- 1/1c- 2/0c+ 30/0c+
+4/0c+ 5/5c+ 8/8c+ 6/6c+ 30/0c+ 7/7c+ 12/12c+
+12/0s- 40/0s- 90/0s- 30/2s- 3/1s- 2/0s- 14/0s- 9/0+ 35/0+
+45/0s- 200/3s- 20/0s- 1/0s- 5/0s- 60/0c+ 1/0s- 80/0s-
+1/0w+ 1000/0+
+7/0w+ 60/0+ 80/0+
+4/0w+ 25/1w+ 40/0w+
+3/0cw+ 45/0cw+ 70/3cw+ 12/0cw+ 30/0c+
+60/0c+ 3/0cw+ 2/0cw+ 5/1cw+ 4/0cw+
+8/0cw+ 1/0cw+ 6/0cw+ 10/0cw+
+3/0w- 2/0w- 4/0w- 5/0w-
+2/1w- 4/0w- 3/3w- 1/0w- 6/0w-
+9/0+ 60/0+ 3/0f- 5/1f- 2/0f- 12/0f- 10/0s-
+80/0f+ 120/2f+ 40/0f+ 35/1f+ 2/0f- 4/2f-
+50/0+ 3/0f- 2/0f- 60/0s-
+4/0f- 8/1f- 45/0+
+12/0f- 6/0f- 70/0c+
+1/0f- 3/0f- 6/0f- 15/0f-
+5/5- 8/8- 12/12- 9/9- 7/7-
+20/0+ 8/8- 9/9- 11/11-
+6/6- 9/5- 7/7- 10/6- 4/4- 9/6-
+50/0+ 9/5+ 60/0+ 10/4+ 40/0+
+60/0+ 2/2- 3/3- 2/2- 5/0+
+1/1- 1/1- 1/1-
+2/2-
+4/4- 40/36- 6/6-
+"""
+
+
+def labelled_rows(table: str = LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of a table as ``LABELLED``."""
+    x, y = [], []
+    for line in table.split("\n"):
+        found = re.findall(r"(\d+)/(\d+)(c?)([wfs]?)([+-])", line)
+        x += block_features([Block("", int(n), int(k), bool(c), " wfs".index(cue or " ")) for n, k, c, cue, _ in found])
+        y += [label == "+" for *_, label in found]
+    return np.array(x), np.array(y, float)
 
 
 @dataclass(frozen=True)
@@ -268,7 +285,7 @@ class Node:
         return node.share > 0.5
 
 
-def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
+def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 12) -> Node:
     """A classification tree by Gini impurity, to pure leaves or the depth given."""
     share = float(y.mean())
     best = (2 * share * (1 - share) - 1e-9, -1, 0.0)
@@ -288,8 +305,7 @@ def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
 
 @functools.cache
 def default_tree() -> Node:
-    rows = np.array(LABELLED, float)
-    return grow_tree(rows[:, :-1], rows[:, -1])
+    return grow_tree(*labelled_rows())
 
 
 def main_text(page: str | None, tree: Node | None = None) -> str:
@@ -302,9 +318,11 @@ def main_text(page: str | None, tree: Node | None = None) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tree: Node | None = None) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages``.
 
-    Null or empty pages and pages without main text have an empty text.  Tags
-    that stay open, cut pages and stray characters are taken as browsers do.
-    Repeated rows are kept, other columns left out; nothing is shuffled.
+    Null or empty pages and pages without main text have an empty text; null
+    ids and addresses stay null.  Tags that stay open, cut pages and stray
+    characters are taken as browsers do.  Pages of any length are read whole.
+    Repeated rows are kept, other columns left out, an empty table gives an
+    empty result; nothing is shuffled.
     """
     tree = tree or default_tree()
 
