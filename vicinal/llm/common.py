@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,19 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder: ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; one of our own is set
-    only where the session has none, as in tests on one machine.
+    One of our own is made only in local mode, as in tests, where the setting
+    may be absent; on a cluster a folder of one machine would lose data, so
+    there its absence is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="vicinal-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``checkpointed``, in Parquet: for wide rows, of which each reader takes the columns that it needs."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows of a few hundred bytes that fit every executor many times over.
 BROADCAST_ROWS = 100_000
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import Recent, checkpointed, lean
+from vicinal.llm.common import Recent, checkpointed, lean, written
 
 CAPACITY = 2048
 #: Pieces that one task packs together: a group wastes one sequence at most more than the whole would.
@@ -29,13 +30,22 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+@functools.cache
+def plain_ends() -> frozenset[str]:
+    """Letters and digits below U+0250 that stay one of these in lower case: after them punctuation is split off."""
+    return frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and len(c.lower()) == 1 and c.lower().isalnum() and unicodedata.is_normalized("NFC", c))
+
+
 class WordIds(Recent):
     """The ids of each word as little-endian bytes.
 
     The tokenizer drops white space and never joins characters across it, so a
-    text's ids are those of its words, one after the other.  It splits
-    punctuation from a letter or digit before it and puts letters in lower
-    case first, so ``Word,`` has the ids of ``word`` and of ``,``.
+    text's ids are those of its words, one after the other.  It composes
+    characters, puts them in lower case and splits punctuation from a letter or
+    digit before it, so ``Word,`` has the ids of ``word`` and of ``,``.  That is
+    used only where neither step can change the other: marks are split off
+    after ``plain_ends``, and letters are lowered in words without a character
+    from U+0300 on, the first that composes with one before it.
     """
 
     MARKS = b".,;:!?"
@@ -45,13 +55,14 @@ class WordIds(Recent):
         from tokenizers import Tokenizer
 
         super().__init__(most)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.ends = Tokenizer.from_file(path), plain_ends()
 
     def make(self, word: bytes) -> bytes:
-        low, stem = word.lower(), word.rstrip(self.MARKS)
-        if stem and len(stem) < len(word) and stem.decode()[-1].isalnum():
+        stem = word.rstrip(self.MARKS)
+        if stem and len(stem) < len(word) and stem.decode()[-1] in self.ends:
             return self[stem] + self[word[len(stem) :]]
-        if low != word and b"<|" not in word:  # special tokens are found before letters are lowered
+        # In UTF-8 characters from U+0300 on begin with 0xCC or more.  Special tokens are found before letters are lowered.
+        if max(word) < 0xCC and b"<|" not in word and (low := word.lower()) != word:
             return self[low]
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -70,20 +81,34 @@ def text_ids(text: bytes | None, path: str, most: int = CACHE_WORDS) -> bytes:
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every row; null text is empty and so one id."""
+def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every row, on demand with its ids; null text is empty and so one id.
+
+    Only documents longer than ``capacity`` are cut.  Null ids stay null and
+    other columns are left out.
+    """
+    schema = PIECES.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 4 * capacity
         for batch in batches:
-            rows = []
+            rows, parts = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 ids = text_ids(text.as_py(), path, cache_words)
-                rows += [(doc, k, at // 4, len(part) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), step)) if (part := ids[at : at + step])]
+                for k, at in enumerate(range(0, len(ids), step)):
+                    part = ids[at : at + step]
+                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    if with_ids:
+                        parts.append(part)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
+                columns = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PIECES, strict=True)]
+                if with_ids:
+                    ends = pa.array(np.cumsum([0, *(r[3] for r in rows)]), pa.int32())
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(parts), "<i4"))))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), out)
 
 
 def best_two_fit(lengths: Sequence[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -151,10 +176,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
 
     Pieces go to groups by the hash of their row number, so that groups are
     even whatever the ids and lengths are, and each group is packed in one
-    task.  Repeated rows are packed as rows of their own; an empty table gives
-    an empty result.
+    task, by lengths alone.  Repeated rows are packed as rows of their own; an
+    empty table gives an empty result.
     """
-    pieces = checkpointed(pieces)
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -168,17 +192,39 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
                 at += lengths[i]
         rows["sequence_id"] = (rows["group"].to_numpy(np.int64) << 32) | sequence
         rows["offset"] = offset
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        return rows[["row", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    numbered = pieces.withColumn("row", F.monotonically_increasing_id())
-    grouped = numbered.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long"))
-    return grouped.groupBy("group").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    grouped = pieces.select("row", "doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long").alias("group"))
+    return grouped.groupBy("group").applyInPandas(run, "row long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | Callable[[], str] = default_tokenizer, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """Tokenize ``docs`` and pack the pieces; see ``tokenized_pieces`` and ``pack_pieces``."""
-    return pack_pieces(tokenized_pieces(docs, path() if callable(path) else path, capacity, id_col, text_col, cache_words), capacity, group_pieces)
+    """Tokenize ``docs`` and pack the pieces: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
+
+    See ``tokenized_pieces`` and ``pack_pieces``.  Null texts are empty, null ids stay null, rows with the same id are
+    documents of their own, and other columns of ``docs`` are left out, whatever their names.
+    """
+    pieces = tokenized_pieces(docs, path() if callable(path) else path, capacity, id_col, text_col, cache_words)
+    return pack_pieces(checkpointed(pieces.withColumn("row", F.monotonically_increasing_id())), capacity, group_pieces).drop("row")
+
+
+def pack_with_ids(docs: DataFrame, path: str | Callable[[], str] = default_tokenizer, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """As ``pack_documents``, with the ids of each piece (array<int>) and row, a number of the piece.
+
+    Rows that share a document's id, as copies in a mix do, are told apart by
+    row: pieces of one copy follow one another in it.  Packing moves lengths
+    only; ids join their places by row.
+    """
+    pieces = tokenized_pieces(docs, path() if callable(path) else path, capacity, id_col, text_col, cache_words, True)
+    pieces = written(pieces.withColumn("row", F.monotonically_increasing_id()))
+    return pack_pieces(pieces, capacity, group_pieces).join(pieces.select("row", "ids"), "row")
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs)
+    """All documents as packed pieces with their ids: what a trainer reads.
+
+    Null and empty texts are one id, the closing 0; documents without an id and
+    those that share one are kept, told apart by row; an empty table gives an
+    empty result.
+    """
+    return pack_with_ids(docs)
