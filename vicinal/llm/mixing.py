@@ -98,7 +98,12 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as documents: a document taken twice stands in two rows."""
+    """The mix as documents, with their columns: a document taken twice stands in two rows.
+
+    Null texts have no words and, like all others, go by the key of their id;
+    rows without an id or with a shared one are each a document; a null source
+    is a source.  An empty table gives an empty mix.
+    """
     out = mix_sources(docs)
     return out.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(*docs.columns)
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,9 @@ def _bucket(text: str) -> int:
 
 
 def word_shape(word: str) -> str:
-    """Kinds of character in a word, runs once: ``Xx``, ``X!``, ``x#``, ``9``."""
-    out = ""
-    for c in word[:64]:
-        k = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
-        if not out or out[-1] != k:
-            out += k
-    return out[:12]
+    """Kinds of character in a whole word, runs once: ``Xx``, ``X!``, ``x#``, ``9``."""
+    kinds = ("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
+    return "".join(k for k, _ in groupby(kinds))
 
 
 class WordBuckets(Recent):
@@ -217,6 +214,11 @@ def rate_documents(spark: SparkSession, docs: DataFrame, model: OrdinalModel | N
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier keeps."""
+    """The documents that the classifier keeps, with their columns.
+
+    Null and empty texts are judged by their statistics alone, like any other
+    row; repeated rows and null ids are judged one by one.  Without labels
+    everything is kept.
+    """
     model = train_quality(docs, table(spark, sf_dir, "labels"))
     return rate_documents(spark, docs, model).where("quality_kept").select(*docs.columns)

@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.ORACLE_OP6}
+    return {"op6_mix_sources": mixing.ORACLE_OP6, "op9_license_scan": licenses.oracle_op9()}

@@ -14,13 +14,15 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "digit_share", "distinct_share")
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), packed_words: int = 1 << 16) -> DataFrame:
     """doc_id, the base statistics and the shares that rules use; null text counts as empty.
 
     The windows of three words that occur again are found inside the row: the
-    64-bit hashes of all windows are sorted with their places in the low bits
-    (as many as the place needs), and places whose hash equals a neighbour's
-    cover three words each.  Texts whose windows all differ skip the sort.
+    64-bit hashes of all windows are sorted with their places, and places whose
+    hash equals a neighbour's cover three words each.  Up to ``packed_words``
+    words the place stands in the low bits of the hash, so that whole numbers
+    are sorted and 48 bits of it or more are compared; longer texts sort pairs
+    and compare all 64 bits.  Texts whose windows all differ skip the sort.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, text.alias("t")).withColumns({"w": F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), "lines": F.filter(F.split("t", "\n"), lambda line: F.regexp_like(line, F.lit(WORD)))})
@@ -41,17 +43,23 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # w stands here twice, so that the optimizer does not move its expression into the function.
         F.when(F.size("w") >= 4, F.transform(F.slice("w", F.lit(1), F.size("w") - 2), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>")).alias("h"),
     )
-    # The place stands in the low bits of a hash, so that whole numbers are sorted.
-    rows = rows.withColumn("bits", F.length(F.bin(F.size("w")))).drop("w")
+    again, none = F.size(F.array_distinct("h")) < F.size("h"), F.array().cast("array<bigint>")
+    rows = rows.withColumns({"bits": F.length(F.bin(F.size("w"))), "short": F.size("w") <= packed_words}).drop("w")
     packed = F.sort_array(F.transform("h", lambda x, i: F.call_function("shiftleft", x, F.col("bits")).bitwiseOR(i.cast("long"))))
-    rows = rows.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), packed).otherwise(F.array().cast("array<bigint>"))).drop("h")
+    pairs = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    no_pairs = F.array().cast("array<struct<x: bigint, i: int>>")
+    rows = rows.withColumns({"s": F.when(again & F.col("short"), packed).otherwise(none), "l": F.when(again & ~F.col("short"), pairs).otherwise(no_pairs)}).drop("h")
 
     def same(x: Column, y: Column) -> Column:
         return F.coalesce(F.call_function("shiftrightunsigned", x, F.col("bits")) == F.call_function("shiftrightunsigned", y, F.col("bits")), F.lit(False))
 
-    again = F.filter("s", lambda x, j: same(x, F.get("s", j + 1)) | same(x, F.get("s", j - 1)))
+    def equal(x: Column, y: Column) -> Column:
+        return F.coalesce(x["x"] == y["x"], F.lit(False))
+
     place = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
-    rows = rows.withColumn("p", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(place).cast("int")))).drop("s", "bits")
+    short = F.transform(F.filter("s", lambda x, j: same(x, F.get("s", j + 1)) | same(x, F.get("s", j - 1))), lambda x: x.bitwiseAND(place).cast("int"))
+    long = F.transform(F.filter("l", lambda x, j: equal(x, F.get("l", j + 1)) | equal(x, F.get("l", j - 1))), lambda x: x["i"])
+    rows = rows.withColumn("p", F.sort_array(F.concat(short, long))).drop("s", "l", "bits", "short")
     cover = F.aggregate(F.transform("p", lambda x, j: F.least(F.coalesce(F.get("p", j + 1) - x, F.lit(3)), F.lit(3))), F.lit(0), lambda a, b: a + b)
     rows = rows.withColumn("n_repeat_words", cover.cast("long")).drop("p")
     words, chars, lines = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars", "n_lines"))
