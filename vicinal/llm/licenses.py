@@ -85,8 +85,8 @@ EQUIVALENT: tuple[tuple[str, str], ...] = (
     ("https", "http"),
 )
 
-#: A line that only names the owner; every other line counts.
-OWNER_LINE = r"(?im)^[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*$|^[ \t*#/;-]*all rights reserved\.?[ \t]*$"
+#: A line that only names the owner, with a sign or a year; a broken line that goes on with the word "copyright" counts.
+OWNER_LINE = r"(?im)^[ \t*#/;-]*(copyright([ \t:]*(\(c\)|©|by[ \t])|[^\n]*[0-9]{4})|\(c\)[ \t]*(copyright|[0-9])|©)[^\n]*$|^[ \t*#/;-]*all rights reserved\.?[ \t]*$"
 
 
 def canonical(text: Column) -> Column:
