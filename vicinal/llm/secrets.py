@@ -32,9 +32,10 @@ PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 PEM_FIELDS = re.compile(r"(?:(?:\s|\\[rn])*[A-Za-z][A-Za-z-]*:[^\n\\]*)*")
 #: Text before a candidate in which a sensitive word must stand, text around it that primes the compressor, and text that is scored at once.
 NEAR, AROUND, PIECE = 48, 256, 512
-#: Up to SHORT characters the compressor stores what it does not know as it is: there a key adds SURE bytes for each
-#: character, or more, and a name made of known words less.  Hexadecimal digits and longer keys are packed tighter.
+#: Up to SHORT characters amid KNOWN words the compressor stores what its dictionary does not hold as it is: a key takes
+#: SURE bytes for each character, or more, a name made of known words less.  Hexadecimal digits and longer keys are packed.
 SHORT, SURE, HEX_RUN = 64, 0.8, re.compile(r"[0-9a-f]+|[0-9A-F]+")
+KNOWN = " request response header headers body content "
 
 #: What identifiers and settings usually consist of: the compressor's dictionary.
 DICTIONARY_WORDS = """
@@ -121,8 +122,8 @@ def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], novelty:
         n = -(-(b - a) // PIECE)
         cuts = [a + (b - a) * k // n for k in range(n + 1)]
         for s, e in [(a, min(b, a + PIECE))] if first else zip(cuts, cuts[1:], strict=False):
-            need = least if e - s > SHORT or HEX_RUN.fullmatch(text, s, e) else max(least, SURE)
-            if novelty.share(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND]) >= need:
+            plain = e - s > SHORT or HEX_RUN.fullmatch(text, s, e) or novelty.share(KNOWN, text[s:e], KNOWN) >= SURE
+            if plain and novelty.share(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND]) >= least:
                 return True
         return False
 
@@ -206,7 +207,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A candidate near a sensitive word is reported whole if each character of
     it, or of a piece of a long one, adds ``least`` compressed bytes or more to
-    its surroundings (0.8 or more where it is short and not hexadecimal); the parts of a key joined by dots, lines or a block of a
+    its surroundings (and, where it is short and not hexadecimal, 0.8 or
+    more amid known words); the parts of a key joined by dots, lines or a block of a
     private key share the word.  Null and
     empty texts have no spans (the digest is that of nothing); repeated rows
     are scanned one by one; other columns are left out.  Rows are independent:
