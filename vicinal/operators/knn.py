@@ -8,10 +8,13 @@ are computed at once; no pair leaves a task unless it belongs to the result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import product
+from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.vectors import METRICS
@@ -109,8 +112,40 @@ def knn_join(r: DataFrame, s: DataFrame, k: int, metric: str = "euclidean", ties
     return found.withColumn("rank", (F.rank() if ties else F.row_number()).over(order)).where(F.col("rank") <= k)
 
 
+#: Dimensions up to which ranges are joined by cells: a point is sent to 3^d of them.
+GRID_DIMS = 3
+GRID_FORMS: dict[str, Callable[[list[Column]], Column]] = {
+    "euclidean": lambda diffs: F.sqrt(reduce(add, [x * x for x in diffs])),
+    "manhattan": lambda diffs: reduce(add, [F.abs(x) for x in diffs]),
+    "maximum": lambda diffs: F.greatest(*map(F.abs, diffs)) if len(diffs) > 1 else F.abs(diffs[0]),
+}
+
+
+def _grid_join(r: DataFrame, s: DataFrame, radius: float, metric: str, dim: int) -> DataFrame:
+    """``range_join`` by cells a little wider than the radius: partners lie in the same cell or one beside it."""
+    side, axes = radius * (1 + 1e-6), range(dim)
+    cells = lambda x: [F.floor(F.col(f"{x}{i}") / F.lit(side)) for i in axes]
+    left = r.select(F.col("id").cast("long").alias("q"), *[F.col("v")[i].cast("double").alias(f"a{i}") for i in axes])
+    right = s.select(F.col("id").cast("long").alias("s"), *[F.col("v")[i].cast("double").alias(f"b{i}") for i in axes])
+    around = F.array(*[F.struct(*[(c + F.lit(step)).alias(f"c{i}") for i, (c, step) in enumerate(zip(cells("a"), steps, strict=True))]) for steps in product((-1, 0, 1), repeat=dim)])
+    left = left.select("*", F.inline(around))
+    right = right.select("*", *[c.alias(f"c{i}") for i, c in enumerate(cells("b"))])
+    d = GRID_FORMS[metric]([F.col(f"a{i}") - F.col(f"b{i}") for i in axes])
+    return left.join(right, [f"c{i}" for i in axes]).select("q", "s", d.alias("d")).where(F.col("d") <= F.lit(radius))
+
+
 def range_join(r: DataFrame, s: DataFrame, radius: float, metric: str = "euclidean") -> DataFrame:
-    """All points of ``s`` within ``radius`` of each of ``r``, the bound included: q, s, d."""
+    """All points of ``s`` within ``radius`` of each of ``r``, the bound included: q, s, d.
+
+    In up to GRID_DIMS dimensions points meet by cells of a grid, an equi-join;
+    in more, blocks of both sides meet.
+    """
+    if metric in GRID_FORMS and 0 < radius < float("inf"):
+        sizes = [x.agg(F.min(F.size("v")), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda c: F.abs(c.cast("double")))))).first() for x in ((r,) if r is s else (r, s))]
+        dims = {n for low, high, _ in sizes for n in (low, high) if n is not None}
+        # Beyond, a coordinate over the radius is too large for its cell to be certain.
+        if len(dims) == 1 and 1 <= max(dims) <= GRID_DIMS and all((top or 0.0) < 1e8 * radius for _, _, top in sizes):
+            return _grid_join(r, s, float(radius), metric, max(dims))
     return _candidates(r, s, metric, None, True, float(radius))
 
 
