@@ -17,7 +17,7 @@ STAGES = [
     ("best-two-fit packing", packing.pack_stage),
 ]
 
-#: SQL can express neither the trained classifier nor the packing; tests hold the stages against plain versions.
+#: SQL can express neither the trained classifier nor the packing; tests hold operators of the stages against plain versions, not ``run`` as a whole.
 ORACLE_SQL = None
 
 
