@@ -64,16 +64,32 @@ def kmeans(points: DataFrame, k: int, max_iter: int = 0, seed: int = 1, start: l
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and comp, the least id reachable, for undirected edges (a, b): labels fall to the least near, then jump."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        mid = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("mid"))
-        new = cut(mid.join(labels.select(F.col("id").alias("mid"), F.col("comp").alias("jump")), "mid", "left").select("id", "old", F.least("mid", F.coalesce("jump", "mid")).alias("comp")))
-        labels = new.select("id", "comp")
-        if new.where("comp <> old").isEmpty():
-            return labels
+    """id and comp, the least id reachable, for undirected edges (a, b), by contraction.
+
+    In a round every vertex points at its least neighbour, if that is smaller;
+    pointers are doubled until they end at roots, and edges go on between
+    different roots.  The least vertex of a component stays a root throughout.
+    Rounds are few, as edges and vertices shrink with each.
+    """
+    flat = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = cut(flat(edges))
+    live, rounds = first.where("a <> b"), []
+    while not live.isEmpty():
+        ends = live.select(F.col("b").alias("id"), F.col("a").alias("to")).unionByName(live.select(F.col("a").alias("id"), F.col("a").alias("to")))
+        roots = cut(ends.groupBy("id").agg(F.min("to").alias("to")))
+        while True:
+            hops = cut(roots.join(roots.select(F.col("id").alias("to"), F.col("to").alias("far")), "to"))
+            roots = hops.select("id", F.col("far").alias("to"))
+            if hops.where("far <> to").isEmpty():
+                break
+        rounds.append(roots)
+        for end in ("a", "b"):
+            live = live.join(roots.withColumnRenamed("id", end), end).withColumn(end, F.col("to")).drop("to")
+        live = cut(flat(live.where("a <> b")).distinct())
+    labels = first.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id"))
+    for roots in rounds:
+        labels = labels.join(roots.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return cut(labels)
 
 
 def density_clusters(points: DataFrame, near: DataFrame, min_points: int, eligible: DataFrame | None = None) -> DataFrame:
