@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vicinal.functions.vectors import erf
 from vicinal.operators.clustering import snn_similarity
 from vicinal.operators.knn import knn_join, range_join
+from vicinal.operators.ranges import with_beside
 from vicinal.plans.lineage import cut
 
 
@@ -105,6 +106,49 @@ def gaussian_model(points: DataFrame, invert: bool = False) -> DataFrame:
     return out.join(F.broadcast(most)).select("id", ((F.col("m") - F.col("score")) / F.col("m")).alias("score"))
 
 
+def gaussian_uniform_mixture(points: DataFrame, share: float, gain: float = 1e-7) -> DataFrame:
+    """How much the likelihood gains where a point goes from a normal distribution to a uniform one, as the score.
+
+    ``share`` is the expected share of outliers.  In each round the points
+    whose move alone would gain more than ``gain``, and at least half as much
+    as the best move, go together and keep that score; it ends when none does,
+    and the others have the score of the last round.  So the result does not
+    depend on an order of visits, and few far points that widen the
+    distribution do not take the rest with them; where no point goes in the
+    first round it is that of one visit after the other.  Rounds read the
+    points again; the driver holds moments.  A covariance
+    without an inverse is mended by 1e-9 on its diagonal.
+    """
+    dim = points.select(F.size("v")).first()[0]
+    x = [F.col("v")[i].cast("double") for i in range(dim)]
+    live, gone, out = points.select("id", "v"), 0, None
+    while True:
+        row = live.agg(F.count(F.lit(1)), *[F.avg(c) for c in x], *[F.covar_pop(x[i], x[j]) for i in range(dim) for j in range(i, dim)]).first()
+        n = row[0]
+        if n < 3:
+            rest = live.select("id", F.lit(0.0).alias("score"))
+            return rest if out is None else out.unionByName(rest)
+        cov = np.zeros((dim, dim))
+        cov[np.triu_indices(dim)] = row[1 + dim :]
+        cov = cov + np.triu(cov, 1).T + (np.eye(dim) * 1e-9 if np.linalg.matrix_rank(cov + np.triu(cov, 1).T) < dim else 0.0)
+        inverse, logdet = np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
+        delta = [c - F.lit(float(m)) for c, m in zip(x, row[1 : 1 + dim], strict=True)]
+        m = sum((delta[i] * delta[j] * F.lit(float(inverse[i, j])) for i in range(dim) for j in range(dim)), F.lit(0.0))
+        # Scatter without a point: its determinant falls by the factor 1 - m / (n - 1).
+        without = dim * float(np.log(n / (n - 1))) + logdet + F.ln(F.greatest(F.lit(1e-300), 1 - m / (n - 1)))
+        uniform = float(np.log(share / (1 - share)) - (gone + 1) * np.log(gone + 1) + (gone * np.log(gone) if gone else 0.0))
+        score = (dim * np.log(2 * np.pi) + dim) / 2 + n / 2 * logdet - (n - 1) / 2 * without + uniform
+        scored = cut(live.select("id", "v", score.alias("score")))
+        best = scored.agg(F.max("score")).first()[0]
+        goes = (F.col("score") > gain) & (F.col("score") >= best / 2)
+        moved = scored.where(goes).count()
+        done = (scored.where(goes) if moved else scored).select("id", "score")
+        out = done if out is None else out.unionByName(done)
+        if not moved:
+            return out
+        live, gone = scored.where(~goes).select("id", "v"), gone + moved
+
+
 def reference_based(points: DataFrame, references: list[list[float]], k: int) -> DataFrame:
     """1 minus the least density over the largest: density by a reference is 1 over the mean gap to the ``k`` points next in distance to it."""
     from vicinal.functions.vectors import euclidean
@@ -114,8 +158,8 @@ def reference_based(points: DataFrame, references: list[list[float]], k: int) ->
         d = euclidean(F.col("v").cast("array<double>"), F.array(*[F.lit(float(x)) for x in ref]))
         part = points.select("id", F.lit(n).alias("ref"), d.alias("d"))
         out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("ref").orderBy("d", "id").rowsBetween(-k, k)
-    gaps = F.array_sort(F.transform(F.collect_list("d").over(w), lambda x: F.abs(x - F.col("d"))))
+    gaps = F.array_sort(F.transform("beside", lambda x: F.abs(x - F.col("d"))))
+    out = with_beside(out, [F.col("d"), F.col("id")], "ref", "d", k)
     gap = out.withColumn("gaps", gaps).withColumn("gap", F.aggregate(F.slice("gaps", 2, k), F.lit(0.0), lambda a, x: a + x) / k)
     least = gap.groupBy("id").agg(F.min(1 / F.col("gap")).alias("density"))
     most = least.agg(F.max("density").alias("m"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations, product
+from functools import reduce
+from itertools import product
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.vectors import erf
-from vicinal.operators.knn import KERNELS, block_join
+from vicinal.operators.knn import KERNELS, block_join, knn_join
+from vicinal.operators.ranges import sums_before
 from vicinal.plans.lineage import cut
 
 
@@ -189,6 +192,22 @@ def polynomial_regression(rows: DataFrame, x: str, y: str, degree: int) -> list[
     return np.linalg.solve(a, np.array(s[2 * degree + 1 :])).tolist()
 
 
+def multiple_regression(rows: DataFrame, xs: list[str], y: str) -> DataFrame:
+    """One row: coefficients (by the order of ``xs``), ssr, sst, r2 and variance of least squares.
+
+    An intercept is a column of ones among ``xs``.  Two passes: sums for the
+    normal equations, whose size is that of ``xs``, then the residuals.
+    ``variance`` is ssr / (n - p - 1) for p columns.
+    """
+    x = [F.col(c).cast("double") for c in xs]
+    p, t = len(x), F.col(y).cast("double")
+    sums = rows.agg(*[F.sum(x[i] * x[j]) for i in range(p) for j in range(p)], *[F.sum(c * t) for c in x]).first()
+    b = np.linalg.solve(np.array(sums[: p * p]).reshape(p, p), np.array(sums[p * p :])).tolist()
+    rest = t - reduce(add, [F.lit(w) * c for w, c in zip(b, x, strict=True)])
+    out = rows.agg(F.sum(rest * rest).alias("ssr"), (F.var_pop(t) * F.count(t)).alias("sst"), F.count(t).alias("n"))
+    return out.select(F.array(*map(F.lit, b)).alias("coefficients"), "ssr", "sst", (1 - F.col("ssr") / F.col("sst")).alias("r2"), (F.col("ssr") / (F.col("n") - p - 1)).alias("variance"))
+
+
 def kernel(name: str, delta: Column) -> Column:
     """Kernel densities of a distance: gaussian, epanechnikov, triangular, uniform."""
     inside = F.abs(delta) < 1
@@ -201,6 +220,71 @@ def kernel(name: str, delta: Column) -> Column:
     return forms[name]
 
 
+KERNEL_FORMS = {
+    "gaussian": lambda d: np.exp(-0.5 * d * d) / math.sqrt(2 * math.pi),
+    "epanechnikov": lambda d: np.where(d < 1, 0.75 * (1 - d * d), 0.0),
+    "triangular": lambda d: np.where(d < 1, 1 - d, 0.0),
+    "uniform": lambda d: np.where(d < 1, 0.5, 0.0),
+}
+
+
+def kernel_density(rows: DataFrame, x: str, name: str = "gaussian", windows: int | None = None) -> DataFrame:
+    """id, density and variance of a column at its own values.
+
+    Half the width is (highest - lowest) / ``windows`` / 2, of 1 + floor(ln n)
+    windows if none are given; what a window reaches beyond the ends is taken
+    off its width.  Equal values meet once, with their number as weight, and
+    tasks return sums, never pairs.
+    """
+    data = rows.where(F.col(x).isNotNull()).select("id", F.col(x).cast("double").alias("x"))
+    n, low, high = data.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    if not n or high == low:
+        return data.select("id", F.lit(None).cast("double").alias("density"), F.lit(None).cast("double").alias("variance"))
+    half = (high - low) / (windows or 1 + int(math.log(n))) / 2
+    values = data.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
+    points = values.select("id", F.array("x", F.col("c").cast("double")).alias("v"))
+
+    def sums(q_ids: np.ndarray, q: np.ndarray, s_ids: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        total = np.zeros(len(q))
+        step = max(1, (1 << 21) // max(1, len(s)))
+        for at in range(0, len(q) if len(s) else 0, step):
+            total[at : at + step] = KERNEL_FORMS[name](np.abs(q[at : at + step, None, 0] - s[None, :, 0]) / half) @ s[:, 1]
+        return pd.DataFrame({"x": q[:, 0] if len(q) else np.zeros(0), "value": total})
+
+    found = block_join(points, points, sums, "x double, value double").groupBy("x").agg(F.sum("value").alias("value"))
+    width = F.least(F.col("x") + half, F.lit(high)) - F.greatest(F.col("x") - half, F.lit(low))
+    return data.join(found, "x").select("id", (F.col("value") / (n * width / 2)).alias("density"), (2 * half / width).alias("variance"))
+
+
+def knn_distance_order(points: DataFrame, k: int, share: float = 1.0, metric: str = "euclidean") -> DataFrame:
+    """id and d, the distance of its k-th nearest (itself included), farthest first; with ``share`` below 1 a part of the ids, by their hash."""
+    chosen = points if share >= 1 else points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return knn_join(chosen, points, k, metric).where(F.col("rank") == k).select(F.col("q").alias("id"), "d").orderBy(F.col("d").desc(), "id")
+
+
+def ranking_quality(points: DataFrame, label: str, metric: str = "euclidean") -> DataFrame:
+    """id, label and auc: how well distances from a point rank the points of its label (itself included) before others.
+
+    Points at one distance count half.  The window is one point's distances
+    after equal ones are added up; all pairs are ranked, as the measure asks.
+    Points whose label nobody lacks have no auc.
+    """
+    known = points.select("id", F.col(label).alias("label"))
+    pairs = block_join(points, points, lambda qi, q, si, s: _all_distances(qi, q, si, s, metric), "q long, s long, d double")
+    marked = pairs.join(known.select(F.col("id").alias("q"), F.col("label").alias("ql")), "q").join(known.select(F.col("id").alias("s"), F.col("label").alias("sl")), "s")
+    same = F.col("ql").eqNullSafe(F.col("sl")).cast("long")
+    steps = marked.groupBy("q", "d").agg(F.sum(same).alias("p"), F.sum(1 - same).alias("n"))
+    before = F.coalesce(F.sum("p").over(Window.partitionBy("q").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    area = steps.withColumn("area", F.col("n") * (before + F.col("p") / 2)).groupBy("q").agg(F.try_divide(F.sum("area"), F.sum("p") * F.sum("n")).alias("auc"))
+    return area.join(known.withColumnRenamed("id", "q"), "q").select(F.col("q").alias("id"), "label", "auc")
+
+
+def _all_distances(q_ids: np.ndarray, q: np.ndarray, s_ids: np.ndarray, s: np.ndarray, metric: str) -> pd.DataFrame:
+    step = max(1, (1 << 21) // max(1, s.size))
+    d = [KERNELS[metric](q[at : at + step], s).ravel() for at in range(0, len(q) if len(s) else 0, step)]
+    return pd.DataFrame({"q": np.repeat(q_ids, len(s_ids)), "s": np.tile(s_ids, len(q_ids)), "d": np.concatenate(d) if d else np.zeros(0)})
+
+
 # Score scalings: each maps a column of scores, with its statistics where it needs them, to [0, 1].
 
 
@@ -221,6 +305,35 @@ def deviation_scaling(scores: DataFrame, lam: float = 3.0) -> DataFrame:
     return scores.join(F.broadcast(s)).select("id", F.when(F.col("score") <= F.col("m"), 0.0).otherwise(F.greatest(F.lit(0.0), erf(z))).alias("score"))
 
 
+def sqrt_deviation_scaling(scores: DataFrame, lam: float = 3.0, low: float | None = None, mean: float | None = None) -> DataFrame:
+    """``deviation_scaling`` of the square roots of what scores exceed ``low`` (their least) by; with ``mean`` the deviation is taken from it."""
+    least = scores.agg(F.min("score").alias("low")) if low is None else scores.sparkSession.createDataFrame([(float(low),)], "low double")
+    rooted = scores.join(F.broadcast(least)).select("id", F.sqrt(F.greatest(F.lit(0.0), F.col("score") - F.col("low"))).alias("score"))
+    if mean is None:
+        return deviation_scaling(rooted, lam)
+    spread = rooted.agg(F.sqrt(F.avg(F.pow(F.col("score") - mean, F.lit(2.0)))).alias("sd"))
+    z = F.try_divide(F.col("score") - mean, lam * F.col("sd") * math.sqrt(2.0))
+    return rooted.join(F.broadcast(spread)).select("id", F.when(F.col("score") <= mean, 0.0).otherwise(F.greatest(F.lit(0.0), erf(z))).alias("score"))
+
+
+def minus_log_scaling(scores: DataFrame) -> DataFrame:
+    """0 for the highest score, 1 for the least, by logarithms; for positive scores where small ones are outliers."""
+    s = scores.agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    return scores.join(F.broadcast(s)).select("id", F.try_divide(F.ln(F.col("score") / F.col("high")), F.ln(F.col("low") / F.col("high"))).alias("score"))
+
+
+def minus_log_gamma_scaling(scores: DataFrame) -> DataFrame:
+    """``gamma_scaling`` of ``minus_log_scaling``."""
+    return gamma_scaling(minus_log_scaling(scores))
+
+
+def multiplicative_inverse_scaling(scores: DataFrame) -> DataFrame:
+    """The inverse of each score, over the greatest absolute inverse; a score of 0 has none: 1."""
+    x = F.try_divide(F.lit(1.0), F.col("score").cast("double"))
+    top = scores.agg(F.max(F.abs(x)).alias("top"))
+    return scores.join(F.broadcast(top)).select("id", F.when(F.col("score") == 0, 1.0).otherwise(x / F.col("top")).alias("score"))
+
+
 def regularized_gamma(k: float, x: np.ndarray) -> np.ndarray:
     """The lower incomplete gamma function over the complete one, by its power series."""
     x = np.maximum(np.asarray(x, float), 0.0)
@@ -296,9 +409,7 @@ def roc_points(rows: DataFrame, ties: str = "reference") -> DataFrame:
     """
     totals = rows.agg(F.sum(F.col("positive").cast("int")).alias("p"), F.sum((~F.col("positive")).cast("int")).alias("n"))
     counts = rows.groupBy("score").agg(F.sum(F.col("positive").cast("int")).alias("gp"), F.sum((~F.col("positive")).cast("int")).alias("gn"), F.min_by("positive", "id").alias("first"))
-    # Distinct scores only, after a combining aggregate.
-    before = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    cum = counts.withColumns({"bp": F.coalesce(F.sum("gp").over(before), F.lit(0)), "bn": F.coalesce(F.sum("gn").over(before), F.lit(0))})
+    cum = sums_before(counts, [F.col("score").desc()], {"bp": "gp", "bn": "gn"})
     if ties == "reference":
         tp, fp = F.col("bp") + F.col("first").cast("int"), F.col("bn") + (~F.col("first")).cast("int")
     else:
@@ -308,6 +419,11 @@ def roc_points(rows: DataFrame, ties: str = "reference") -> DataFrame:
 
 def roc_auc(rows: DataFrame, ties: str = "standard") -> DataFrame:
     """The area under ``roc_points`` from (0, 0) to (1, 1) by trapezoids."""
+    if ties == "standard":
+        totals = rows.agg(F.sum(F.col("positive").cast("int")).alias("p"), F.sum((~F.col("positive")).cast("int")).alias("n"))
+        counts = rows.groupBy("score").agg(F.sum(F.col("positive").cast("int")).alias("gp"), F.sum((~F.col("positive")).cast("int")).alias("gn"))
+        area = sums_before(counts, [F.col("score").desc()], {"bp": "gp"}).agg(F.sum(F.col("gn") * (F.col("bp") + F.col("gp") / 2)).alias("area"))
+        return area.join(F.broadcast(totals)).select(F.try_divide("area", F.col("p").cast("double") * F.col("n")).alias("auc"))
     points = roc_points(rows, ties).select("fpr", "tpr")
     ends = rows.sparkSession.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "fpr double, tpr double")
     w = Window.orderBy("fpr", "tpr")
@@ -325,8 +441,3 @@ def pair_counting(a: DataFrame, b: DataFrame, beta: float = 1.0) -> DataFrame:
     w = 1 + beta * beta
     f = w * F.col("both") / (w * F.col("both") + beta * beta * (F.col("first") - F.col("both")) + (F.col("second") - F.col("both")))
     return both.join(F.broadcast(first)).join(F.broadcast(second)).select(f.alias("f_measure"))
-
-
-def itemset_subsets(items: list[str], size: int) -> list[tuple[str, ...]]:
-    """Combinations on the driver, for tests and small candidate lists."""
-    return list(combinations(sorted(items), size))

@@ -69,7 +69,9 @@ DIST = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2])
 D = f"{E}, d AS (SELECT a.id AS q, b.id AS s, {DIST} AS d FROM e a, e b)"
 R = f"{D}, r AS (SELECT q, s, d, row_number() OVER (PARTITION BY q ORDER BY d, s) AS rank, rank() OVER (PARTITION BY q ORDER BY d) AS tie FROM d)"
 RX = f"{D}, r AS (SELECT q, s, d, row_number() OVER (PARTITION BY q ORDER BY d, s) AS rank, rank() OVER (PARTITION BY q ORDER BY d) AS tie FROM d WHERE q <> s)"
-ERF = "(sign({x}) * (1 - (((((1.061405429 * {t} - 1.453152027) * {t} + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t}) * exp(-({x}) * ({x}))))"
+#: By its power series: the functions of the queries are made of other terms.
+ERF = "(exp(-({x}) * ({x})) * list_sum(list_transform(range(90), lambda n: pow({x}, 2 * n + 1) / gamma(n + 1.5))))"
+AUC = "t AS (SELECT q, a.label, d, a.label = b.label AS p FROM d JOIN e a ON a.id = q JOIN e b ON b.id = s), auc AS (SELECT q, label, sum(CASE WHEN p THEN 0 ELSE bp + gp / 2.0 END) / (max(tp) * (count(*) - max(tp)))::DOUBLE AS auc FROM (SELECT *, count(*) FILTER (p) OVER (PARTITION BY q ORDER BY d) - count(*) FILTER (p) OVER (PARTITION BY q, d) AS bp, count(*) FILTER (p) OVER (PARTITION BY q, d) AS gp, count(*) FILTER (p) OVER (PARTITION BY q) AS tp FROM t) GROUP BY 1, 2)"
 X = "x AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 P = "p AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y FROM part)"
 
@@ -119,6 +121,13 @@ def dbscan_query(spark: SparkSession, d: str) -> DataFrame:
     return C.dbscan(plane(spark, d), 1.0, 4)
 
 
+def value_scalings(spark: SparkSession, d: str) -> DataFrame:
+    """The scalings of single values, of parts' sizes."""
+    x = F.col("p_size").cast("double")
+    forms = {"linear": V.scale_linear(x, 0.5, 3.0), "clipped": V.scale_clip(x, 10.0, 40.0), "power": V.scale_gamma(x, 1.5), "minus_log": V.scale_minus_log(x), "from_similarity": V.minus_log_similarity(x / 50)}
+    return _table(spark, d, "part").select("p_partkey", *[F.round(c, DIGITS).alias(n) for n, c in forms.items()])
+
+
 def zorder_recall(spark: SparkSession, d: str, every: int = 10) -> DataFrame:
     """The share of the exact neighbours that the join along z-curves finds in the plane of size and price, for ids divisible by ``every``."""
     p = parts(spark, d)
@@ -207,6 +216,18 @@ def queries() -> dict[str, Query]:
         "gamma_scaling": lambda s, d: rounded(S.gamma_scaling(part_price(s, d)), "score"),
         "distance_statistics": lambda s, d: rounded(S.distance_statistics(embeddings(s, d), "label", 20, 2.0), "low", "high", "total"),
         "outlier_histogram": lambda s, d: S.outlier_histogram(toxic(s, d), 20, 0.0, 4000.0),
+        "sqrt_deviation_scaling": lambda s, d: rounded(S.sqrt_deviation_scaling(part_price(s, d)), "score"),
+        "minus_log_scaling": lambda s, d: rounded(S.minus_log_scaling(part_price(s, d)), "score"),
+        "minus_log_gamma_scaling": lambda s, d: rounded(S.minus_log_gamma_scaling(part_price(s, d)), "score"),
+        "multiplicative_inverse_scaling": lambda s, d: rounded(S.multiplicative_inverse_scaling(part_price(s, d)), "score"),
+        "value_scalings": value_scalings,
+        "error_function": lambda s, d: _table(s, d, "part").select("p_partkey", F.round(V.erf(F.col("p_size") / 12.0 - 2), DIGITS).alias("erf"), F.round(V.erfc(F.col("p_size") / 12.0 - 2), DIGITS).alias("erfc"), F.round(V.normal_share(F.col("p_size").cast("double"), 25.0, 10.0), DIGITS).alias("share"), F.round(V.normal_density(F.col("p_size").cast("double"), 25.0, 10.0), DIGITS).alias("density")),
+        "multiple_regression": lambda s, d: rounded(S.multiple_regression(_table(s, d, "lineitem").withColumn("one", F.lit(1.0)), ["one", "l_quantity", "l_discount"], "l_extendedprice").select(*[F.round(F.col("coefficients")[i], 3).alias(f"b{i}") for i in range(3)], F.round("r2", DIGITS).alias("r2")), "r2"),
+        "kernel_density": lambda s, d: rounded(S.kernel_density(part_price(s, d), "score", "epanechnikov").select("id", (F.col("density") * 1e3).alias("density"), "variance"), "density", "variance"),
+        "knn_distance_order": lambda s, d: rounded(S.knn_distance_order(embeddings(s, d), 5), "d"),
+        "ranking_quality": lambda s, d: rounded(S.ranking_quality(embeddings(s, d), "label"), "auc"),
+        "ranking_quality_histogram": lambda s, d: S.histogram(S.ranking_quality(embeddings(s, d), "label"), "auc", 100, 0.0, 1.0),
+        "gaussian_uniform_mixture": lambda s, d: rounded(O.gaussian_uniform_mixture(plane(s, d), 0.0001), "score"),
         "reference_points_star": lambda s, d: s.createDataFrame([(n, *p) for n, p in enumerate(S.reference_points(parts(s, d), "star"))], "n int, x double, y double").select("n", F.round("x", DIGITS).alias("x"), F.round("y", DIGITS).alias("y")),
     }
 
@@ -233,7 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "lof": _lof("11", "n.q <> n.s"),
         "optics_of": _lof("10", "true"),
         "ldof": f"WITH {RX}, n AS (SELECT q, s, d FROM r WHERE rank <= 8), own AS (SELECT q, avg(d) AS own FROM n GROUP BY q), bt AS (SELECT a.q, avg(d.d) AS bt FROM n a JOIN n b ON a.q = b.q AND a.s < b.s JOIN d ON d.q = a.s AND d.s = b.s GROUP BY a.q) SELECT own.q AS id, {r6('own / bt')} FROM own JOIN bt USING (q)",
-        "loop": f"WITH {RX}, n AS (SELECT q, s, d FROM r WHERE rank <= 10), pd AS (SELECT q, 2.0 * sqrt(avg(d * d)) AS pd FROM n GROUP BY q), pl AS (SELECT n.q, greatest(min(a.pd) / avg(b.pd), 1.0) AS plof FROM n JOIN pd a ON n.q = a.q JOIN pd b ON n.s = b.q GROUP BY n.q), sc AS (SELECT *, 2.0 * sqrt(avg((plof - 1) * (plof - 1)) OVER ()) AS nplof FROM pl) SELECT q AS id, {r6('CASE WHEN nplof > 0 THEN greatest(0.0, ' + ERF.format(x=pl, t=f'(1.0 / (1.0 + 0.3275911 * abs({pl})))') + ') ELSE 0.0 END')} FROM sc",
+        "loop": f"WITH {RX}, n AS (SELECT q, s, d FROM r WHERE rank <= 10), pd AS (SELECT q, 2.0 * sqrt(avg(d * d)) AS pd FROM n GROUP BY q), pl AS (SELECT n.q, greatest(min(a.pd) / avg(b.pd), 1.0) AS plof FROM n JOIN pd a ON n.q = a.q JOIN pd b ON n.s = b.q GROUP BY n.q), sc AS (SELECT *, 2.0 * sqrt(avg((plof - 1) * (plof - 1)) OVER ()) AS nplof FROM pl) SELECT q AS id, {r6('CASE WHEN nplof > 0 THEN greatest(0.0, ' + ERF.format(x=pl) + ') ELSE 0.0 END')} FROM sc",
         "db_score": f"WITH {D} SELECT q AS id, {r6('1 - count(*) / (SELECT count(*) FROM e)::DOUBLE')} FROM d WHERE d <= 1.2 GROUP BY q",
         "db_outliers": f"WITH {D} SELECT q AS id, CASE WHEN count(*) < floor((SELECT count(*) FROM e) * (1 - 0.9)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM d WHERE d <= 1.2 GROUP BY q",
         "gaussian_model": f"WITH {P}, m AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, x) AS a, covar_pop(x, y) AS b, covar_pop(y, y) AS c FROM p) SELECT id, round(1e6 / sqrt(4 * pi() * pi() * (a * c - b * b)) * exp(-0.5 * ((x - mx) * (x - mx) * c - 2 * (x - mx) * (y - my) * b + (y - my) * (y - my) * a) / (a * c - b * b)), 4) AS score FROM p, m",
@@ -247,7 +268,7 @@ def oracle_sql() -> dict[str, str]:
         "linear_regression": f"SELECT round(regr_slope(l_extendedprice, l_quantity), {DIGITS}) AS slope, round(regr_intercept(l_extendedprice, l_quantity), {DIGITS}) AS intercept, round(regr_r2(l_extendedprice, l_quantity), {DIGITS}) AS r2 FROM lineitem",
         "linear_scaling": f"SELECT p_partkey AS id, {r6('least(1.0, (p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()))')} FROM part",
         "sqrt_scaling": f"SELECT p_partkey AS id, {r6('least(1.0, sqrt(p_retailprice - min(p_retailprice) OVER ()) / sqrt(max(p_retailprice) OVER () - min(p_retailprice) OVER ()))')} FROM part",
-        "deviation_scaling": f"WITH s AS (SELECT p_partkey AS id, p_retailprice AS score, avg(p_retailprice) OVER () AS m, stddev_pop(p_retailprice) OVER () AS sd FROM part) SELECT id, {r6('CASE WHEN score <= m THEN 0.0 ELSE greatest(0.0, ' + ERF.format(x=z, t=f'(1.0 / (1.0 + 0.3275911 * abs({z})))') + ') END')} FROM s",
+        "deviation_scaling": f"WITH s AS (SELECT p_partkey AS id, p_retailprice AS score, avg(p_retailprice) OVER () AS m, stddev_pop(p_retailprice) OVER () AS sd FROM part) SELECT id, {r6('CASE WHEN score <= m THEN 0.0 ELSE greatest(0.0, ' + ERF.format(x=z) + ') END')} FROM s",
         "top_k_scaling": "SELECT p_partkey AS id, CASE WHEN p_retailprice >= (SELECT min(p_retailprice) FROM (SELECT p_retailprice FROM part ORDER BY p_retailprice DESC LIMIT 10)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM part",
         "frequent_itemsets": "WITH b AS (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT item AS items, count(*) AS support FROM b GROUP BY 1 HAVING count(*) >= 20 UNION ALL SELECT a.item || ',' || c.item, count(*) FROM b a JOIN b c ON a.basket = c.basket AND a.item < c.item GROUP BY 1 HAVING count(*) >= 20",
         "roc_auc": f"WITH t AS (SELECT n_chars AS s, toxic = 1 AS p FROM documents JOIN labels USING (doc_id)), g AS (SELECT s, count(*) FILTER (p) AS gp, count(*) FILTER (NOT p) AS gn FROM t GROUP BY s), c AS (SELECT *, coalesce(sum(gp) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bp FROM g) SELECT round(sum(gn * (bp + gp / 2.0)) / (sum(gp) * sum(gn)), {DIGITS}) AS auc FROM c",
@@ -264,6 +285,18 @@ def oracle_sql() -> dict[str, str]:
         "dense_units": f"WITH {P}, l AS (SELECT id, '0:' || floor((x - min(x) OVER ()) / ((max(x) OVER () + 0.0001 - min(x) OVER ()) / 10))::BIGINT AS a, '1:' || floor((y - min(y) OVER ()) / ((max(y) OVER () + 0.0001 - min(y) OVER ()) / 10))::BIGINT AS b FROM p), u AS (SELECT a AS unit, count(*) AS support FROM l GROUP BY 1 UNION ALL SELECT b, count(*) FROM l GROUP BY 1 UNION ALL SELECT a || ',' || b, count(*) FROM l GROUP BY 1) SELECT * FROM u WHERE support >= ceil(0.012 * (SELECT count(*) FROM p) - 1e-9)",
         "distance_statistics": f"WITH {D}, t AS (SELECT a.label = b.label AS same, least(floor(d / 0.1), 20)::INT AS bin, d FROM d JOIN e a ON a.id = q JOIN e b ON b.id = s WHERE q <> s) SELECT same, bin, count(*) AS n, round(min(d), {DIGITS}) AS low, round(max(d), {DIGITS}) AS high, round(sum(d), {DIGITS}) AS total FROM t GROUP BY 1, 2",
         "outlier_histogram": "SELECT (CASE WHEN n_chars = 4000 THEN 19 ELSE floor(n_chars / 200.0) END)::INT AS bin, count(*) AS n, sum(toxic = 1)::BIGINT AS positive FROM documents JOIN labels USING (doc_id) WHERE n_chars BETWEEN 0 AND 4000 GROUP BY 1",
+        "sqrt_deviation_scaling": f"WITH a AS (SELECT p_partkey AS id, sqrt(p_retailprice - min(p_retailprice) OVER ()) AS score FROM part), s AS (SELECT id, score, avg(score) OVER () AS m, stddev_pop(score) OVER () AS sd FROM a) SELECT id, {r6('CASE WHEN score <= m THEN 0.0 ELSE greatest(0.0, ' + ERF.format(x=z) + ') END')} FROM s",
+        "minus_log_scaling": f"WITH s AS (SELECT p_partkey AS id, -ln(p_retailprice / max(p_retailprice) OVER ()) AS x FROM part) SELECT id, {r6('x / max(x) OVER ()')} FROM s",
+        "multiplicative_inverse_scaling": f"SELECT p_partkey AS id, {r6('min(p_retailprice) OVER () / p_retailprice')} FROM part",
+        "value_scalings": f"SELECT p_partkey, round(p_size * 0.5 + 3, {DIGITS})::DOUBLE AS linear, least(40, greatest(10, p_size))::DOUBLE AS clipped, round(p_size * sqrt(p_size), {DIGITS}) AS power, round(-ln(p_size), {DIGITS}) AS minus_log, round(ln(50) - ln(p_size), {DIGITS}) AS from_similarity FROM part",
+        "error_function": f"WITH p AS (SELECT p_partkey, p_size / 12.0::DOUBLE - 2 AS x, (p_size - 25) / (10 * sqrt(2.0)) AS z FROM part), e AS (SELECT p_partkey, z, {ERF.format(x='x')} AS e, {ERF.format(x='z')} AS s FROM p) SELECT p_partkey, round(e, {DIGITS}) AS erf, round(1 - e, {DIGITS}) AS erfc, round((1 + s) / 2, {DIGITS}) AS share, round(exp(-z * z) / (10 * sqrt(2 * pi())), {DIGITS}) AS density FROM e",
+        "kernel_density": f"WITH p AS (SELECT p_partkey AS id, p_retailprice AS x FROM part), m AS (SELECT count(*) AS n, min(x) AS low, max(x) AS high, (max(x) - min(x)) / (1 + floor(ln(count(*)))) / 2 AS h FROM p), k AS (SELECT a.id, a.x, sum(0.75 * (1 - (b.x - a.x) * (b.x - a.x) / (h * h))) AS v FROM p a, p b, m WHERE abs(b.x - a.x) < h GROUP BY 1, 2), w AS (SELECT id, v, n, h, least(x + h, high) - greatest(x - h, low) AS w FROM k, m) SELECT id, round(v / (n * w / 2) * 1e3, {DIGITS}) AS density, round(2 * h / w, {DIGITS}) AS variance FROM w",
+        "knn_distance_order": f"WITH {R} SELECT q AS id, round(d, {DIGITS}) AS d FROM r WHERE rank = 5",
+        "ranking_quality": f"WITH {D}, {AUC} SELECT q AS id, label, round(auc, {DIGITS}) AS auc FROM auc",
+        "ranking_quality_histogram": f"WITH {D}, {AUC} SELECT least(floor(auc / 0.01), 99)::INT AS bin, count(*) AS n FROM auc GROUP BY 1",
+        "gaussian_uniform_mixture": f"WITH p AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice / 25 AS y FROM part), m AS (SELECT count(*)::DOUBLE AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, x) AS a, covar_pop(x, y) AS b, covar_pop(y, y) AS c FROM p), g AS (SELECT id, n, ln(a * c - b * b) AS det, ((x - mx) * (x - mx) * c - 2 * (x - mx) * (y - my) * b + (y - my) * (y - my) * a) / (a * c - b * b) AS m FROM p, m) SELECT id, {r6('ln(2 * pi()) + 1 + n / 2 * det - (n - 1) / 2 * (2 * ln(n / (n - 1)) + det + ln(1 - m / (n - 1))) + ln(0.0001 / 0.9999)')} FROM g",
+        "multiple_regression": f"WITH m AS (SELECT avg(l_extendedprice) AS y, avg(l_quantity) AS q, avg(l_discount) AS d, var_pop(l_extendedprice) AS yy, var_pop(l_quantity) AS qq, var_pop(l_discount) AS dd, covar_pop(l_quantity, l_discount) AS qd, covar_pop(l_quantity, l_extendedprice) AS qy, covar_pop(l_discount, l_extendedprice) AS dy FROM lineitem), b AS (SELECT *, (qy * dd - dy * qd) / (qq * dd - qd * qd) AS b1, (dy * qq - qy * qd) / (qq * dd - qd * qd) AS b2 FROM m) SELECT round(y - b1 * q - b2 * d, 3) AS b0, round(b1, 3) AS b1, round(b2, 3) AS b2, round((b1 * qy + b2 * dy) / yy, {DIGITS}) AS r2 FROM b",
+        "reference_based": f"WITH {P}, o AS (SELECT id, ref, sqrt((x - ref) * (x - ref) + y * y) AS d FROM p, (VALUES (0), (50)) t(ref)), g AS (SELECT id, d, list(d) OVER (PARTITION BY ref ORDER BY d, id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM o), s AS (SELECT id, min(5 / list_sum(list_slice(list_sort(list_transform(near, lambda z: abs(z - d))), 2, 6))) AS den FROM g GROUP BY id) SELECT id, {r6('1 - den / max(den) OVER ()')} FROM s",
         "reference_points_star": f"WITH {P}, m AS (SELECT avg(x) AS x, avg(y) AS y, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p), o AS (SELECT 0 AS n, x, y FROM m UNION ALL SELECT 1, lx, y FROM m UNION ALL SELECT 2, hx, y FROM m UNION ALL SELECT 3, x, ly FROM m UNION ALL SELECT 4, x, hy FROM m) SELECT n, round(x, {DIGITS}) AS x, round(y, {DIGITS}) AS y FROM o",
         "snn_similarity": f"WITH {RX}, n AS (SELECT q, s FROM r WHERE rank <= 10) SELECT a.q, b.q AS s, count(*) AS common FROM n a JOIN n b ON a.s = b.s AND a.q < b.q GROUP BY 1, 2",
     }

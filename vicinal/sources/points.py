@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,26 @@ def read_bits(spark: SparkSession, path: str) -> DataFrame:
     return _tokens(spark, path).select(F.filter(F.transform("t", lambda x, i: F.when(x == "1", i)), lambda i: i.isNotNull()).alias("bits"))
 
 
+def read_sparse_bits(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of positions of ones, other words as labels: bits (ascending, each once) and labels."""
+    number = lambda x: x.try_cast("int")
+    return _tokens(spark, path).select(F.array_sort(F.array_distinct(F.filter(F.transform("t", number), lambda i: i.isNotNull()))).alias("bits"), F.concat_ws(" ", F.filter("t", lambda x: number(x).isNull())).alias("labels"))
+
+
+def read_transposed(spark: SparkSession, path: str) -> DataFrame:
+    """The n-th line holds the n-th attribute of all points: id (from 0, the place in the line) and v.
+
+    The file is read as one text, as its lines have no other order; lines of
+    different lengths are an error when the points are read.
+    """
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))).alias("dim", "line"))
+    cells = rows.select("dim", F.posexplode(F.split("line", r"\s+")).alias("id", "x"))
+    points = cells.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", F.col("x").cast("double").alias("x")))), lambda c: c["x"]).alias("v"))
+    points = points.join(F.broadcast(rows.agg((F.max("dim") + 1).alias("dims"))))
+    whole = F.size("v") == F.col("dims")
+    return points.select(F.col("id").cast("long").alias("id"), F.when(whole, F.col("v")).otherwise(F.raise_error(F.lit("attributes have different numbers of points"))).alias("v"))
+
+
 def read_sparse(spark: SparkSession, path: str) -> DataFrame:
     """``n i1 x1 i2 x2 ... label`` lines: a map from index to value, and the rest as labels."""
     n = F.col("t")[0].cast("int")
@@ -53,6 +75,11 @@ def project(points: DataFrame, attributes: list[int]) -> DataFrame:
     return points.withColumn("v", F.array(*[F.col("v")[i] for i in attributes]))
 
 
+def random_attributes(dim: int, n: int, seed: int = 0) -> list[int]:
+    """``n`` of ``dim`` attributes, for ``project``; the same for the same seed."""
+    return sorted(random.Random(seed).sample(range(dim), n))
+
+
 def uniform_points(spark: SparkSession, n: int, dim: int = 2, high: float = 100_000.0, seed: int = 0) -> DataFrame:
     return spark.range(n).select("id", F.array(*[F.round(F.rand(seed + i) * high, 4) for i in range(dim)]).alias("v"))
 
