@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vicinal.functions.vectors import erf
 from vicinal.operators.clustering import snn_similarity
-from vicinal.operators.knn import knn_join, range_join
+from vicinal.operators.knn import knn_join, range_counts, range_join
 from vicinal.operators.ranges import with_beside
 from vicinal.plans.lineage import cut
 
@@ -76,14 +76,14 @@ def loop(points: DataFrame, k: int, lam: float = 2.0) -> DataFrame:
 def db_score(points: DataFrame, radius: float) -> DataFrame:
     """1 minus the share of points within ``radius``, the point itself included."""
     n = points.count()
-    return range_join(points, points, radius).groupBy("q").agg((1 - F.count(F.lit(1)) / F.lit(float(n))).alias("score")).withColumnRenamed("q", "id")
+    return range_counts(points, radius).select("id", (1 - F.col("n") / F.lit(float(n))).alias("score"))
 
 
 def db_outliers(points: DataFrame, radius: float, share: float) -> DataFrame:
     """1 if fewer than floor(n (1 - share)) points lie within ``radius``, else 0."""
     n = points.count()
     least = int(np.floor(n * (1 - share)))
-    return range_join(points, points, radius).groupBy("q").agg(F.when(F.count(F.lit(1)) < least, 1.0).otherwise(0.0).alias("score")).withColumnRenamed("q", "id")
+    return range_counts(points, radius).select("id", F.when(F.col("n") < least, 1.0).otherwise(0.0).alias("score"))
 
 
 def gaussian_model(points: DataFrame, invert: bool = False) -> DataFrame:
@@ -161,7 +161,8 @@ def reference_based(points: DataFrame, references: list[list[float]], k: int) ->
     gaps = F.array_sort(F.transform("beside", lambda x: F.abs(x - F.col("d"))))
     out = with_beside(out, [F.col("d"), F.col("id")], "ref", "d", k)
     gap = out.withColumn("gaps", gaps).withColumn("gap", F.aggregate(F.slice("gaps", 2, k), F.lit(0.0), lambda a, x: a + x) / k)
-    least = gap.groupBy("id").agg(F.min(1 / F.col("gap")).alias("density"))
+    # A gap of 0, between copies, is an infinite density.
+    least = gap.groupBy("id").agg(F.min(F.when(F.col("gap") > 0, F.try_divide(F.lit(1.0), "gap")).otherwise(F.lit(float("inf")))).alias("density"))
     most = least.agg(F.max("density").alias("m"))
     return least.join(F.broadcast(most)).select("id", (1 - F.col("density") / F.col("m")).alias("score"))
 
