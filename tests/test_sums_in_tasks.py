@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from vicinal.operators import knn, outliers, statistics
+from vicinal.operators import knn, mixtures, outliers, statistics
 
 
 def cloud():
@@ -47,3 +47,19 @@ def test_gap_of_zero_is_an_infinite_density(spark):
     points = spark.createDataFrame([(i, [0.0]) for i in range(8)] + [(9, [5.0]), (10, [6.0])], "id long, v array<double>")
     got = {r["id"]: r["score"] for r in outliers.reference_based(points, [[0.0]], 3).collect()}
     assert math.isnan(got[0]) and got[9] == got[10] == 1.0
+
+
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_mixture_of_copies_reads_each_point_once(spark, monkeypatch, most):
+    seen = []
+    plain = mixtures._moments
+    monkeypatch.setattr(mixtures, "ONE_TASK_BYTES", most)
+    x = np.random.default_rng(4).normal(0, 1, (60, 2)) + np.arange(60)[:, None] // 30 * 4
+    rows = [(i, v.tolist()) for i, v in enumerate(np.repeat(x, 7, axis=0))]
+    got = mixtures.fit_mixture(spark.createDataFrame(rows, "id long, v array<double>"), 2, 4, start=[[0.0, 0.0], [4.0, 4.0]])
+    now = np.full(2, 0.5), np.array([[0.0, 0.0], [4.0, 4.0]]), np.array([np.eye(2)] * 2)
+    want = mixtures._rounds(lambda m: seen.append(m) or plain(np.column_stack([np.repeat(x, 7, axis=0), np.ones(420)]), m), now, 4, 0.0)
+    for a, b in zip(got, want, strict=True):
+        np.testing.assert_allclose(a, b, atol=1e-9)
+    frame = mixtures.points_packed(spark.createDataFrame(rows, "id long, v array<double>"))
+    assert frame.agg({"n": "sum"}).first()[0] == 60 and len(seen) == 4

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.plans.lineage import cut
+
 #: What is added to a covariance's diagonal where it cannot be inverted.
 RIDGE = 1e-9
 #: Changes of the log density, as a share of it, that the order of adding up may cause.
 ROUNDING = 1e-12
 
 
-def posteriors(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> tuple[np.ndarray, float]:
-    """The probability of each component given each row of ``x``, and the sum of the rows' log densities."""
+def posteriors(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """The probability of each component given each row of ``x``, and the sum of the rows' log densities, each ``counts`` times."""
     logs = np.empty((len(x), len(weights)))
     for c, (w, m, s) in enumerate(zip(weights, means, covs, strict=True)):
         sign, det = np.linalg.slogdet(s)
@@ -28,7 +30,7 @@ def posteriors(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.n
         logs[:, c] = np.log(max(w, 1e-300)) - 0.5 * (len(m) * np.log(2 * np.pi) + det + (diff * np.linalg.solve(s, diff.T).T).sum(axis=1))
     most = logs.max(axis=1, keepdims=True)
     total = most[:, 0] + np.log(np.exp(logs - most).sum(axis=1))
-    return np.exp(logs - total[:, None]), float(total.sum())
+    return np.exp(logs - total[:, None]), float((total if counts is None else total * counts).sum())
 
 
 def fit_mixture(points: DataFrame, k: int, max_iter: int = 0, delta: float = 0.0, seed: int = 1, start: list[list[float]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,8 +38,11 @@ def fit_mixture(points: DataFrame, k: int, max_iter: int = 0, delta: float = 0.0
 
     Means are drawn in the bounding box unless ``start`` gives them.  It ends
     when the mean log density changes by at most ``delta`` beyond rounding, or
-    after ``max_iter`` rounds if that is not 0.  Tasks sum their moments, of a size that depends on ``k`` and the dimension alone; a shuffle
-    adds them, and one number for each moment comes to the driver.
+    after ``max_iter`` rounds if that is not 0.  Equal points are added up once,
+    before the rounds, and packed; if the packs are few enough for one task, it
+    runs all rounds.  Else tasks sum their moments, of a size that depends on
+    ``k`` and the dimension alone; a shuffle adds them, and one number for each
+    moment comes to the driver.
     """
     points = points.select(F.col("v").cast("array<double>").alias("v"))
     dim = points.select(F.size("v")).first()[0]
@@ -45,26 +50,75 @@ def fit_mixture(points: DataFrame, k: int, max_iter: int = 0, delta: float = 0.0
         v = [F.col("v")[i] for i in range(dim)]
         box = points.agg(*[F.min(c) for c in v], *[F.max(c) for c in v]).first()
         start = np.random.default_rng(seed).uniform(box[:dim], box[dim:], (k, dim)).tolist()
-    weights, means, covs, before = np.full(k, 1 / k), np.array(start, float), np.array([np.eye(dim)] * k), None
-    size = 1 + dim + dim * dim
+    packs = cut(points_packed(points))
+    model = np.full(k, 1 / k), np.array(start, float), np.array([np.eye(dim)] * k)
+    unpack = lambda row: np.frombuffer(row, float).reshape(-1, dim + 1)
+    if (packs.agg(F.sum("n")).first()[0] or 0) * (dim + 1) * 8 > ONE_TASK_BYTES:
+
+        def sums_of(now: tuple) -> np.ndarray:
+            def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                total = sum((_moments(unpack(x), now) for rows in batches for x in rows["x"]), np.zeros(k * (1 + dim + dim * dim) + 2))
+                yield pd.DataFrame({"at": np.arange(len(total)), "x": total})
+
+            sums = np.zeros(k * (1 + dim + dim * dim) + 2)
+            for at, x in packs.mapInPandas(moments, "at int, x double").groupBy("at").agg(F.sum("x")).collect():
+                sums[at] = x
+            return sums
+
+        return _rounds(sums_of, model, max_iter, delta)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [unpack(x) for rows in batches for x in rows["x"]]
+        if held:
+            x = np.concatenate(held)
+            # In one order, so that reruns agree.
+            x = x[np.lexsort(x.T)]
+            out = _rounds(lambda now: sum((_moments(x[at : at + PACK], now) for at in range(0, len(x), PACK)), 0.0), model, max_iter, delta)
+            yield pd.DataFrame({"model": [np.concatenate([p.ravel() for p in out]).tobytes()]})
+
+    row = packs.select("x").repartition(1).mapInPandas(fit, "model binary").first()
+    if row is None:
+        return model
+    flat = np.frombuffer(row[0], float)
+    return flat[:k].copy(), flat[k : k + k * dim].reshape(k, dim).copy(), flat[k + k * dim :].reshape(k, dim, dim).copy()
+
+
+#: Points of a pack, and bytes of packs up to which one task runs all rounds.
+PACK, ONE_TASK_BYTES = 16384, 8 << 20
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Points and how often each occurs, as rows of numbers in packs."""
+    for rows in batches:
+        for at in range(0, len(rows), PACK):
+            some = rows.iloc[at : at + PACK]
+            x = np.column_stack([np.array([np.asarray(v, float) for v in some["v"]]), some["n"].to_numpy(float)])
+            yield pd.DataFrame({"n": [len(x)], "x": [x.tobytes()]})
+
+
+def points_packed(points: DataFrame) -> DataFrame:
+    """n (different points) and x (these, each with its number) of packs."""
+    return points.groupBy("v").agg(F.count(F.lit(1)).alias("n")).mapInPandas(_packed, "n long, x binary")
+
+
+def _moments(rows: np.ndarray, now: tuple) -> np.ndarray:
+    """For each component the sums of its shares, of points and of their products, about the old mean; then of log densities and counts."""
+    x, n = np.ascontiguousarray(rows[:, :-1]), rows[:, -1]
+    p, log = posteriors(x, *now, n)
+    p, out = p * n[:, None], []
+    for c in range(p.shape[1]):
+        diff = x - now[1][c]  # sums of squares stay small
+        out += [[p[:, c].sum()], p[:, c] @ diff, (diff.T @ (p[:, c, None] * diff)).ravel()]
+    return np.concatenate([*out, [log, n.sum()]])
+
+
+def _rounds(sums_of: Callable[[tuple], np.ndarray], model: tuple, max_iter: int, delta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k, dim = model[1].shape
+    size, before = 1 + dim + dim * dim, None
+    weights, means, covs = model
     for _ in range(max_iter) if max_iter else itertools.count():
         now = (weights, means, covs)
-
-        def moments(batches: Iterator[pd.DataFrame], now: tuple = now) -> Iterator[pd.DataFrame]:
-            total = np.zeros(k * size + 2)
-            for rows in batches:
-                if len(rows):
-                    x = np.array([np.asarray(v, float) for v in rows["v"]])
-                    p, log = posteriors(x, *now)
-                    for c in range(k):
-                        diff = x - now[1][c]  # about the old mean: sums of squares stay small
-                        total[c * size : (c + 1) * size] += np.concatenate([[p[:, c].sum()], p[:, c] @ diff, (diff.T @ (p[:, c, None] * diff)).ravel()])
-                    total[-2:] += log, len(x)
-            yield pd.DataFrame({"at": np.arange(len(total)), "x": total})
-
-        sums = np.zeros(k * size + 2)
-        for at, x in points.mapInPandas(moments, "at int, x double").groupBy("at").agg(F.sum("x")).collect():
-            sums[at] = x
+        sums = sums_of(now)
         n, log = sums[-1], sums[-2]
         if n == 0 or (before is not None and abs(log / n - before) <= max(delta, ROUNDING * abs(before))):
             break
