@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vicinal.functions.vectors import erf
 from vicinal.operators.clustering import snn_similarity
-from vicinal.operators.knn import knn_join, range_counts, range_join
+from vicinal.operators.knn import _cells_fit, _matrix, knn_join, located, range_counts, range_join
 from vicinal.operators.ranges import with_beside
 from vicinal.plans.lineage import cut
 
@@ -191,8 +193,24 @@ def loci(points: DataFrame, radius: float, least: int = 20, alpha: float = 0.5)
     within the radius (itself included); radii are the distances to neighbours
     and these over ``alpha``; radii with fewer than ``least`` points do not
     count.  0 where there is none.  A task holds the neighbourhood of one point
-    at a time, which ``radius`` bounds.
+    at a time, or in few dimensions that of a cell of a grid, which ``radius``
+    bounds; copies of a point are one with their number.
     """
+    rows, places, copies = located(points)
+    dim = _cells_fit(places, places, radius, "euclidean")
+    if dim:
+        side, reach = radius * (1 + alpha) / 2 * (1 + 1e-6), (-2, -1, 0, 1, 2)
+        cells = [F.floor(F.col("v")[i] / F.lit(side)) for i in range(dim)]
+        around = F.array(*[F.array(*[c + F.lit(step) for c, step in zip(cells, steps, strict=True)]) for steps in product(reach, repeat=dim)])
+        home, near = places.withColumn("cell", F.array(*cells)), places.withColumn("cell", F.explode(around))
+
+        def scores(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a):
+                return pd.DataFrame({"loc": np.zeros(0, np.int64), "score": np.zeros(0)})
+            return pd.DataFrame({"loc": a["id"], "score": loci_scores(_matrix(a["v"]), _matrix(b["v"]), b["n"].to_numpy(), radius, least, alpha)})
+
+        found = home.groupBy("cell").cogroup(near.groupBy("cell")).applyInPandas(scores, "loc long, score double")
+        return rows.join(found, "loc").select("id", "score")
     near = cut(range_join(points, points, radius))
     lists = near.where(F.col("d") <= alpha * radius).groupBy("q").agg(F.sort_array(F.collect_list("d")).alias("ds"))
     joined = near.join(lists.withColumnRenamed("q", "s"), "s").select("q", "s", "d", "ds")
@@ -213,6 +231,70 @@ def loci(points: DataFrame, radius: float, least: int = 20, alpha: float = 0.5)
     return joined.groupBy("q").applyInPandas(score, "id long, score double")
 
 
+def loci_scores(q: np.ndarray, s: np.ndarray, n: np.ndarray, radius: float, least: int, alpha: float) -> np.ndarray:
+    """``loci`` of points ``q`` among ``s``, each ``n`` times, that holds them and all within ``radius`` times 1 + ``alpha``.
+
+    A count about a point changes only at a distance of one of its neighbours;
+    what each change adds to the sums of counts and of their squares is put at
+    the least radius that sees it, and running sums give all radii at once.
+    """
+    step = max(1, (1 << 21) // max(1, s.size))
+    owner, at, totals = [], [], []
+    asked = np.flatnonzero(np.all((s >= q.min(axis=0) - radius * (1 + 1e-6)) & (s <= q.max(axis=0) + radius * (1 + 1e-6)), axis=1)) if len(q) else np.arange(0)
+    for top in range(0, len(asked), step):
+        some = asked[top : top + step]
+        d = np.sqrt(sum((s[some, None, i] - s[None, :, i]) ** 2 for i in range(s.shape[1])))
+        r, c = np.nonzero(d <= alpha * radius)
+        e = d[r, c]
+        order = np.lexsort((e, r))
+        r, e, w = r[order], e[order], n[c[order]].astype(float)
+        first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (e[1:] != e[:-1])])
+        r, e, w = r[first], e[first], np.add.reduceat(w, first)
+        total = np.cumsum(w)
+        total -= (total - w)[np.searchsorted(r, r)]
+        owner.append(some[r])
+        at.append(e)
+        totals.append(total)
+    if not len(q):
+        return np.zeros(0)
+    owner, at, totals = (np.concatenate(x) for x in (owner, at, totals))
+    values, code = np.unique(at, return_inverse=True)
+    key = owner * (len(values) + 1) + code
+    start = np.searchsorted(owner, np.arange(len(s) + 1))
+    by = totals - np.where(np.r_[True, owner[1:] != owner[:-1]], 0.0, np.r_[0.0, totals[:-1]])
+    squares = by * (2 * totals - by)
+    out = np.zeros(len(q))
+    for k, point in enumerate(q):
+        d = np.sqrt(((point - s) ** 2).sum(axis=1))
+        inside = d <= radius
+        near = d[inside]
+        radii = np.unique(np.concatenate([near, near / alpha]))
+        radii = radii[radii <= radius]
+        size = len(radii)
+        # For each distance of a change, the first radius whose alpha-fold reaches it.
+        seen = np.cumsum(np.bincount(np.searchsorted(values, alpha * radii, side="right"), minlength=len(values) + 1))[: len(values)]
+        whose = np.flatnonzero(inside)
+        enters, times = np.searchsorted(radii, near), n[whose].astype(float)
+        # A neighbour enters with what it has counted by then; changes after that follow.
+        late = np.searchsorted(key, whose * (len(values) + 1) + np.searchsorted(values, alpha * near, side="right"))
+        met = totals[late - 1]
+        rest = start[whose + 1] - late
+        use = np.repeat(late - (np.cumsum(rest) - rest), rest) + np.arange(rest.sum())
+        place, more = seen[code[use]], np.repeat(times, rest)
+        count = np.cumsum(np.bincount(enters, times, size + 1)[:size])
+        one = np.cumsum((np.bincount(enters, times * met, size + 1) + np.bincount(place, more * by[use], size + 1))[:size])
+        two = np.cumsum((np.bincount(enters, times * met * met, size + 1) + np.bincount(place, more * squares[use], size + 1))[:size])
+        me = int(np.argmin(d))
+        mine = slice(start[me], start[me + 1])
+        own = np.cumsum(np.bincount(seen[code[mine]], by[mine], size + 1)[:size])
+        # Whole numbers: where all counts are equal the difference is 0.
+        spread = np.asarray(count.astype(np.longdouble) * two - one.astype(np.longdouble) ** 2, float)
+        held = (count >= least) & (spread > 0)
+        if held.any():
+            out[k] = ((one - own * count)[held] / np.sqrt(spread[held])).max()
+    return out
+
+
 def abod(points: DataFrame, k: int) -> DataFrame:
     """The weighted variance of the angles at a point between pairs of its ``k`` nearest; low scores are outliers.
 

@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.operators.clustering import components, density_clusters
-from vicinal.operators.knn import knn_join, range_join
+from vicinal.operators.clustering import components, density_clusters, of_copies
+from vicinal.operators.knn import knn_join, located, range_join
 from vicinal.operators.statistics import apriori, attribute_ranges, components_of, strong_components
 from vicinal.plans.lineage import cut
 
 
-def _variances(points: DataFrame, near: DataFrame) -> DataFrame:
+#: Dimensions up to which expressions are written out for each.
+WRITTEN_OUT = 128
+
+
+def _ends(points: DataFrame, near: DataFrame, counted: bool) -> tuple[DataFrame, int]:
+    """The pairs (q, s) with both vectors, a and b, and how many the second stands for; and the dimension."""
+    v = points.select("id", F.col("v").cast("array<double>").alias("v"), (F.col("n") if counted else F.lit(1)).alias("n"))
+    dim = (v.select(F.size("v")).first() or [0])[0]
+    pairs = near.select("q", "s").join(v.select(F.col("id").alias("s"), F.col("v").alias("b"), "n"), "s")
+    return pairs.join(v.select(F.col("id").alias("q"), F.col("v").alias("a")), "q"), dim
+
+
+def _variances(points: DataFrame, near: DataFrame, counted: bool = False) -> DataFrame:
     """q, dim and the mean squared difference of the neighbours (q, s) from the point itself."""
+    pairs, dim = _ends(points, near, counted)
+    if dim <= WRITTEN_OUT:
+        diffs = [F.col("b")[i] - F.col("a")[i] for i in range(dim)]
+        means = [(F.sum(F.col("n") * x * x) / F.sum("n")).alias(f"v{i}") for i, x in enumerate(diffs)]
+        return pairs.groupBy("q").agg(F.array(*means).alias("vars")).select("q", F.posexplode("vars").alias("dim", "var"))
     cells = components_of(points)
-    other = near.select("q", F.col("s").alias("id")).join(cells, "id").select("q", "dim", F.col("x").alias("y"))
-    return other.join(cells.withColumnRenamed("id", "q"), ["q", "dim"]).groupBy("q", "dim").agg(F.avg(F.pow(F.col("y") - F.col("x"), 2)).alias("var"))
+    other = near.select("q", F.col("s").alias("id")).join(cells, "id").select("q", "id", "dim", F.col("x").alias("y"))
+    n = points.select("id", (F.col("n") if counted else F.lit(1)).alias("n"))
+    both = other.join(n, "id").drop("id").join(cells.withColumnRenamed("id", "q"), ["q", "dim"])
+    return both.groupBy("q", "dim").agg((F.sum(F.col("n") * F.pow(F.col("y") - F.col("x"), 2)) / F.sum("n")).alias("var"))
 
 
-def preferences(points: DataFrame, near: DataFrame, most: float, strict: bool = False) -> DataFrame:
-    """id and dims, the sorted attributes whose variance about the point is at most (or ``strict``: below) ``most``."""
-    var = _variances(points, near)
+def preferences(points: DataFrame, near: DataFrame, most: float, strict: bool = False, counted: bool = False) -> DataFrame:
+    """id and dims, the sorted attributes whose variance about the point is at most (or ``strict``: below) ``most``; ``counted`` points stand for ``n``."""
+    var = _variances(points, near, counted)
     held = F.col("var") < most if strict else F.col("var") <= most
     return var.groupBy(F.col("q").alias("id")).agg(F.sort_array(F.collect_list(F.when(held, F.col("dim")))).alias("dims"))
 
@@ -41,30 +63,49 @@ def predecon(points: DataFrame, radius: float, min_points: int, delta: float, mo
     ``most_dims`` attributes.  Weights are 1 at least, so that pairs beyond
     ``radius`` need not be looked at.
     """
-    near = cut(range_join(points, points, radius).select("q", "s"))
-    prefer = cut(preferences(points, near, delta))
-    v = points.select("id", F.col("v").cast("array<double>").alias("v")).join(prefer, "id")
-    pairs = near.join(v.select(F.col("id").alias("q"), F.col("v").alias("a"), F.col("dims").alias("pa")), "q").join(v.select(F.col("id").alias("s"), F.col("v").alias("b"), F.col("dims").alias("pb")), "s")
+    rows, places, copies = located(points)
+    near = cut(range_join(places, places, radius).select("q", "s"))
+    prefer = cut(preferences(places, near, delta, counted=True))
+    pairs, dim = _ends(places, near.where("q <= s"), True)
+    for end, dims in (("q", "pa"), ("s", "pb")):
+        pairs = pairs.join(prefer.select(F.col("id").alias(end), F.col("dims").alias(dims)), end)
 
     def squared(dims: str):
+        if dim <= WRITTEN_OUT:
+            return reduce(add, [(F.col("a")[i] - F.col("b")[i]) * (F.col("a")[i] - F.col("b")[i]) * F.when(F.array_contains(dims, i), kappa).otherwise(1.0) for i in range(dim)], F.lit(0.0))
         parts = F.transform(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), lambda d, i: d * F.when(F.array_contains(dims, i), kappa).otherwise(1.0))
         return F.aggregate(parts, F.lit(0.0), lambda t, x: t + x)
 
     kept = pairs.where(F.greatest(squared("pa"), squared("pb")) <= radius * radius).select("q", "s")
-    return density_clusters(points, cut(kept), min_points, prefer.where(F.size("dims") <= most_dims))
+    return of_copies(rows, density_clusters(places, _both_ways(kept), min_points, prefer.where(F.size("dims") <= most_dims), places), copies)
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Pairs q <= s in both orders."""
+    pairs = cut(pairs)
+    return pairs.unionByName(pairs.where("q < s").select(F.col("s").alias("q"), F.col("q").alias("s")))
 
 
-def local_pca(points: DataFrame, near: DataFrame) -> DataFrame:
+def local_pca(points: DataFrame, near: DataFrame, counted: bool = False) -> DataFrame:
     """id, eigenvalues (largest first) and eigenvectors (rows in that order) of the covariance of each point's neighbours (q, s).
 
     Moments are summed by combining aggregates over the neighbours, so that no
-    task holds a neighbourhood, only its matrix.
+    task holds a neighbourhood, only its matrix.  ``counted`` points stand for
+    ``n``; their moments are taken about the point.
     """
-    cells = points.select(F.col("id").alias("s"), F.col("v").cast("array<double>").alias("v"))
-    dim = points.select(F.size("v")).first()[0]
-    x = [F.col("v")[i] for i in range(dim)]
-    cov = [F.covar_pop(x[min(i, j)], x[max(i, j)]) for i in range(dim) for j in range(dim)]
-    moments = near.select("q", "s").join(cells, "s").groupBy("q").agg(F.array(*cov).alias("c"))
+    if counted:
+        pairs, dim = _ends(points, near, True)
+        x = [F.col("b")[i] - F.col("a")[i] for i in range(dim)]
+        n = F.sum("n")
+        mean = [F.sum(F.col("n") * x[i]) / n for i in range(dim)]
+        cov = [F.sum(F.col("n") * x[min(i, j)] * x[max(i, j)]) / n - mean[i] * mean[j] for i in range(dim) for j in range(dim)]
+        moments = pairs.groupBy("q").agg(F.array(*cov).alias("c"))
+    else:
+        cells = points.select(F.col("id").alias("s"), F.col("v").cast("array<double>").alias("v"))
+        dim = points.select(F.size("v")).first()[0]
+        x = [F.col("v")[i] for i in range(dim)]
+        cov = [F.covar_pop(x[min(i, j)], x[max(i, j)]) for i in range(dim) for j in range(dim)]
+        moments = near.select("q", "s").join(cells, "s").groupBy("q").agg(F.array(*cov).alias("c"))
 
     def decompose(batches):
         for rows in batches:
@@ -92,21 +133,24 @@ def four_c(points: DataFrame, radius: float, min_points: int, delta: float, most
     whose eigenvalue is at most ``delta`` times the largest are weak.  A core
     point has at most ``most_dims`` strong ones.
     """
-    near = cut(range_join(points, points, radius).select("q", "s"))
-    pca = cut(local_pca(points, near))
+    rows, places, copies = located(points)
+    near = cut(range_join(places, places, radius).select("q", "s"))
+    pca = cut(local_pca(places, near, True))
     strong = F.size(F.filter("eigenvalues", lambda e: e > delta * F.element_at("eigenvalues", 1)))
-    v = points.select("id", F.col("v").cast("array<double>").alias("v")).join(pca, "id")
-    side = lambda q, n: v.select(F.col("id").alias(q), *[F.col(c).alias(f"{c}_{n}") for c in ("v", "eigenvalues", "eigenvectors")])
-    pairs = near.join(side("q", "a"), "q").join(side("s", "b"), "s").withColumn("diff", F.zip_with("v_a", "v_b", lambda x, y: x - y))
+    pairs, dim = _ends(places, near.where("q <= s"), True)
+    # The matrix of weights along each direction, once for each point.
+    weigh = F.transform("eigenvalues", lambda e: F.when(e > delta * F.element_at("eigenvalues", 1), 1.0).otherwise(kappa))
+    weighed = pca.select("id", "eigenvectors", weigh.alias("w"))
+    for end in ("q", "s"):
+        pairs = pairs.join(weighed.select(F.col("id").alias(end), F.col("eigenvectors").alias(f"e_{end}"), F.col("w").alias(f"w_{end}")), end)
 
-    def squared(n: str):
-        along = F.transform(f"eigenvectors_{n}", lambda e: F.aggregate(F.zip_with("diff", e, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x))
-        weigh = F.zip_with(along, f"eigenvalues_{n}", lambda p, e: p * p * F.when(e > delta * F.element_at(f"eigenvalues_{n}", 1), 1.0).otherwise(kappa))
-        return F.aggregate(weigh, F.lit(0.0), lambda t, x: t + x)
+    def squared(end: str):
+        along = [reduce(add, [(F.col("a")[i] - F.col("b")[i]) * F.col(f"e_{end}")[k][i] for i in range(dim)]) for k in range(dim)]
+        return reduce(add, [p * p * F.col(f"w_{end}")[k] for k, p in enumerate(along)])
 
     # A direction's weights sum back to the plain distance: rounding must not lose a pair at the bound.
-    kept = pairs.where(F.greatest(squared("a"), squared("b")) <= radius * radius * (1 + 1e-12)).select("q", "s")
-    return density_clusters(points, cut(kept), min_points, pca.where(strong <= most_dims))
+    kept = pairs.where(F.greatest(squared("q"), squared("s")) <= radius * radius * (1 + 1e-12)).select("q", "s")
+    return of_copies(rows, density_clusters(places, _both_ways(kept), min_points, pca.where(strong <= most_dims), places), copies)
 
 
 def dense_units(points: DataFrame, cells: int, share: float, max_dims: int | None = None) -> DataFrame:
